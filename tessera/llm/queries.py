@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.packing import op4_packing
 from tessera.llm.quality import op1_quality
+from tessera.llm.toxicity import op8_toxicity
 from tessera.llm.tiff import media_digests
 
 
@@ -12,5 +13,5 @@ def op9_tiff_media(spark, sf_dir):
     return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op9_tiff_media": op9_tiff_media}
+QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op8_toxicity": op8_toxicity, "op9_tiff_media": op9_tiff_media}
 ORACLE_SQL: dict[str, str] = {}
