@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tessera.llm.neardup import op7_neardup
 from tessera.llm.packing import op4_packing
 from tessera.llm.quality import op1_quality
 from tessera.llm.toxicity import op8_toxicity
@@ -13,5 +14,5 @@ def op9_tiff_media(spark, sf_dir):
     return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op8_toxicity": op8_toxicity, "op9_tiff_media": op9_tiff_media}
+QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_tiff_media": op9_tiff_media}
 ORACLE_SQL: dict[str, str] = {}
