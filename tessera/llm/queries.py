@@ -7,6 +7,7 @@ from tessera.llm.packing import op4_packing
 from tessera.llm.quality import op1_quality
 from tessera.llm.secrets import OP10_SQL, op10_secrets
 from tessera.llm.sharding import OP5_SQL, op5_sharding
+from tessera.llm.topk import OP6_SQL, op6_topk
 from tessera.llm.toxicity import op8_toxicity
 from tessera.llm.tiff import media_digests
 
@@ -16,5 +17,5 @@ def op9_tiff_media(spark, sf_dir):
     return media_digests(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_tiff_media": op9_tiff_media, "op10_secrets": op10_secrets}
-ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op10_secrets": OP10_SQL}
+QUERIES = {"op1_quality": op1_quality, "op4_packing": op4_packing, "op5_sharding": op5_sharding, "op6_topk": op6_topk, "op7_neardup": op7_neardup, "op8_toxicity": op8_toxicity, "op9_tiff_media": op9_tiff_media, "op10_secrets": op10_secrets}
+ORACLE_SQL: dict[str, str] = {"op5_sharding": OP5_SQL, "op6_topk": OP6_SQL, "op10_secrets": OP10_SQL}
