@@ -21,6 +21,7 @@ score is the share of toxic labels (0 without any). Equal texts get equal scores
 from __future__ import annotations
 
 import re
+import sys
 import zlib
 from collections import Counter
 from dataclasses import dataclass
@@ -105,8 +106,8 @@ def kernel(left: list[str], right: list[str]) -> np.ndarray:
     dense = np.zeros((len(held) + 1, len(right)))
     dense[column, mark] = value
     out = np.zeros((len(left), len(right)))
-    for top in range(0, len(left), 500):
-        row, number, value = profiles(left[top : top + 500])
+    for top in range(0, len(left), 100):
+        row, number, value = profiles(left[top : top + 100])
         at = np.searchsorted(held, number)
         at[(at == len(held)) | (held[np.minimum(at, len(held) - 1)] != number)] = len(held)
         use = at < len(held)
@@ -173,6 +174,10 @@ class ToxicityModel:
         decision = np.where(squares > 1e-9, sums / np.sqrt(np.maximum(squares, 1e-9)), -1.0) + OFFSET
         return np.maximum.reduceat(decision, np.searchsorted(windows_at, starts))
 
+    def each(self, found: list[str], part: int = 30_000) -> np.ndarray:
+        """``words`` over any number of words, in parts that bound the memory."""
+        return np.concatenate([self.words(found[k : k + part]) for k in range(0, len(found), part)] or [np.zeros(0)])
+
     def highest(self, texts) -> np.ndarray:
         """Each text's highest decision value (the offset, which is below, where it has no window)."""
         known = self.__dict__.setdefault("_known", {})
@@ -184,9 +189,7 @@ class ToxicityModel:
                 known.clear()
                 todo = set().union(*held)
             todo = sorted(todo)
-            for k in range(0, len(todo), 50_000):
-                part = todo[k : k + 50_000]
-                known.update(zip(part, self.words(part).tolist(), strict=True))
+            known.update(zip(todo, self.each(todo).tolist(), strict=True))
             out.extend(max(map(known.__getitem__, units), default=OFFSET - 1.0) for units in held)
 
         for text in texts:
@@ -238,7 +241,7 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
     certain = [w for w in positive if evidence(w) >= 4 * enough]
     frequent = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     negative = lettered(frequent[:third] + sorted(frequent[third:], key=_order)[:third])
-    clean_words = sorted({w for found, label in zip(units, toxic, strict=True) if not label for w in found}, key=_order)[:400_000]
+    clean_words = sorted({w for found, label in zip(units, toxic, strict=True) if not label for w in found}, key=_order)[:300_000]
     toxic_words = [sorted(found) for found, label in zip(units, toxic, strict=True) if label and found]
     weights = np.zeros(LETTERS**3)
     for turn in range(rounds):
@@ -260,19 +263,14 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
         if turn == rounds - 1:
             break
         model = ToxicityModel(weights, None, 0.0)
-        flat = model.words([w for words in toxic_words for w in words])
-        chosen: Counter = Counter()
-        at = 0
-        for words in toxic_words:
-            chosen[words[int(np.argmax(flat[at : at + len(words)]))]] += 1
-            at += len(words)
+        chosen = Counter(words[int(np.argmax(model.words(words)))] for words in toxic_words)
         best = []
         for word in sorted(chosen, key=lambda w: (-chosen[w], w)):
             if chosen[word] < 2 and n1 >= 20:
                 continue
             cuts = windows(word)
             best.append(cuts[int(np.argmax(model.words(cuts)))])
-        worst = [clean_words[k] for k in np.argsort(-model.words(clean_words), kind="stable")[:third]]
+        worst = [clean_words[k] for k in np.argsort(-model.each(clean_words), kind="stable")[:third]]
         negative = lettered(list(dict.fromkeys([w for word in worst for w in windows(word)][:third] + negative)))[: 2 * third]
         clean = set(negative)
         positive = lettered([w for w in dict.fromkeys(best + certain) if w not in clean and evidence(w) >= enough / 3])[:third]
@@ -297,22 +295,25 @@ def _order(word: str) -> tuple[int, str]:
     return zlib.crc32(word.encode()), word
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = 4_000) -> ToxicityModel:
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = 3_000) -> ToxicityModel:
     """Fit on at most ``per_class`` labelled documents of each class (documented bound); two thirds train, one third calibrates."""
     sample = labelled_sample(docs, labels, label, usable, per_class)
 
-    @F.pandas_udf("array<string>")
+    @F.pandas_udf("string")
     def units(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sorted(units_of(t)))
+        return texts.map(lambda t: "\n".join(sorted(units_of(t))))
 
     counted = {r["_label"]: r["count"] for r in labels.where(usable & F.col(label).isin(0, 1)).groupBy(F.col(label).alias("_label")).count().collect()}
     share = counted.get(1, 0) / sum(counted.values()) if counted else 0.0
     third = F.pmod(F.xxhash64(F.lit("third"), F.col("doc_id")), F.lit(3)) == 0
     rows = sample.where(~third).select("doc_id", "_label", units("_text").alias("_units")).orderBy("doc_id").collect()
     toxic = np.array([r["_label"] for r in rows], dtype=int)
+    texts = [{sys.intern(w) for w in r["_units"].split("\n") if w} for r in rows]
+    del rows
     if len(set(toxic.tolist())) < 2:
         return ToxicityModel(None, None, share)
-    weights = train([set(r["_units"]) for r in rows], toxic)
+    weights = train(texts, toxic)
+    del texts
     model = ToxicityModel(weights, None, share)
 
     @F.pandas_udf("double")
