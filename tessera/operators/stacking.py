@@ -126,7 +126,7 @@ class BoostedTrees(Estimator):
 
     def stages(self) -> list:
         p = self.params
-        return [GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class", rawPredictionCol="_raw", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["step"], subsamplingRate=p["subsample"], featureSubsetStrategy=p["columns"], minInstancesPerNode=p["least"], seed=p["seed"])]
+        return [GBTClassifier(featuresCol="_features", labelCol="_label", weightCol="_weight", predictionCol="_class", maxIter=p["trees"], maxDepth=p["depth"], stepSize=p["step"], subsamplingRate=p["subsample"], featureSubsetStrategy=p["columns"], minInstancesPerNode=p["least"], seed=p["seed"])]
 
     def predict(self, df: DataFrame) -> DataFrame:
         out = self.model.transform(df)

@@ -487,7 +487,7 @@ ORACLE_SQL = {
     "ap_pooled": f"WITH {_DOCS}, {_ap_sql('x', '')} SELECT n, n_positive, round(ap, 9) AS ap FROM ap",
     "ap_per_image": f"WITH {_DOCS}, {_ap_sql('x', 'source')} SELECT source, n, n_positive, round(ap, 9) AS ap FROM ap",
     "ap_summary": f"WITH {_DOCS}, {_ap_sql('x', 'lang, source')} SELECT lang, source[4:4] AS anomaly_type, count(*) AS n_views, round(avg(ap), 9) AS ap_mean, round(stddev_pop(ap), 9) AS ap_std, round(min(ap), 9) AS ap_min, round(max(ap), 9) AS ap_max FROM ap GROUP BY lang, source[4:4]",
-    "ap_overall": f"WITH {_DOCS}, {_ap_sql('x', 'lang, source')}, t AS (SELECT lang, source[4:4] AS k, avg(ap) AS a FROM ap GROUP BY lang, source[4:4]), c AS (SELECT lang, avg(a) AS a FROM t GROUP BY lang) SELECT round(avg(a), 9) AS ap FROM c",
+    "ap_overall": f"WITH {_DOCS}, {_ap_sql('x', 'lang, source')}, kinds AS (SELECT lang, source[4:4] AS k, avg(ap) AS a FROM ap GROUP BY lang, source[4:4]), c AS (SELECT lang, avg(a) AS a FROM kinds GROUP BY lang) SELECT round(avg(a), 9) AS ap FROM c",
     "calibration_percentiles": "WITH b AS (SELECT l_returnflag, quantile_cont(l_extendedprice, 0.01) AS lo, quantile_cont(l_extendedprice, 0.995) AS hi FROM lineitem GROUP BY l_returnflag) SELECT l_returnflag, round(lo, 6) AS lo, round(CASE WHEN hi > lo THEN hi ELSE lo + 1e-6 END, 6) AS hi FROM b",
     "normalise_unit": "WITH b AS (SELECT quantile_cont(value, 0.01) AS lo, quantile_cont(value, 0.995) AS hi FROM events) SELECT event_id, round(least(1, greatest(0, (value - lo) / (hi - lo))), 6) AS x FROM events, b",
     "ecdf": "WITH r AS (SELECT value FROM events WHERE event_type = 'view'), u AS (SELECT event_id, value, 0 AS k FROM events UNION ALL SELECT NULL, value, 1 FROM r), w AS (SELECT event_id, k, coalesce(sum(k) OVER (ORDER BY value RANGE UNBOUNDED PRECEDING EXCLUDE TIES), 0) - k AS below FROM u) SELECT event_id, round(below::DOUBLE / greatest((SELECT count(*) FROM r), 1), 9) AS ecdf FROM w WHERE k = 0",
