@@ -61,8 +61,8 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     if not len(starts):
         return np.zeros(0, dtype=np.uint64), first
     lengths = np.diff(np.append(starts, len(data)))
-    place = np.arange(len(data), dtype=np.int64)
-    place[starts[0] :] -= np.repeat(starts, lengths)
+    place = np.arange(len(data), dtype=np.int32 if len(data) < 2**31 else np.int64)
+    place[starts[0] :] -= np.repeat(starts.astype(place.dtype), lengths)
     power = np.full(int(lengths.max()) + 1, _BASE)
     power[0] = 1
     power = np.multiply.accumulate(power)
@@ -72,8 +72,23 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return mix(np.add.reduceat(terms, starts)), first
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    """For each row the sorted distinct hashes of its five-word shingles; with fewer words, of the whole sequence."""
+def shingle_sets(column: pa.Array, stretch: int = 1 << 20) -> list[np.ndarray]:
+    """For each row the sorted distinct hashes of its five-word shingles; with fewer words, of the whole sequence.
+
+    Rows are worked on in stretches of about ``stretch`` bytes, which bounds the arrays of a batch of long texts.
+    """
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    _, offsets = flat_utf8(column)
+    out, begin = [], 0
+    while begin < len(column):
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + stretch, side="right")) - 1)
+        out.extend(_sets(column.slice(begin, end - begin)))
+        begin = end
+    return out
+
+
+def _sets(column: pa.Array) -> list[np.ndarray]:
     hashes, first = word_hashes(*flat_utf8(column))
     count = np.diff(first)
     rolled = np.zeros(len(hashes), dtype=np.uint64)
