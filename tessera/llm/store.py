@@ -1,35 +1,5 @@
-"""Intermediate tables in the shared checkpoint folder, and how many tasks to use.
+"""Intermediate tables of this subpackage; see ``tessera.store``."""
 
-Results that are read more than once are written as Parquet under the folder that
-``spark.checkpoint.dir`` names, which every executor can reach, so a lost executor
-costs only its running tasks. The setting is read from the session; only where it
-is unset (tests, a laptop) a local folder is used.
-"""
+from tessera.store import checkpoint_root, keep, tasks
 
-from __future__ import annotations
-
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def checkpoint_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="tessera-checkpoint-")
-        spark.sparkContext.setCheckpointDir(root)
-    return root
-
-
-def keep(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and return the table read back."""
-    spark = df.sparkSession
-    path = f"{checkpoint_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def tasks(spark: SparkSession) -> int:
-    """The number of shuffle partitions the session asks for."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+__all__ = ["checkpoint_root", "keep", "tasks"]
