@@ -26,7 +26,7 @@ def test_search_equals_brute_force(spark, monkeypatch, blocks):
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(scale=rng.choice([0.05, 1.0]), size=6).astype(np.float32).tolist()) for i in range(420)]
     rows += [(1000 + i, [0.5] * 6) for i in range(80)]  # ties
-    rows += [(2000, None), (2050, [1.0, None, 0, 0, 0, 0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (None, [9.0] * 6), (2200, []), (2201, [3.0]), (2250, [1e6] * 6)]
+    rows += [(2000, None), (2050, [1.0, None, 0.0, 0.0, 0.0, 0.0]), (2100, [float("nan")] * 6), (2150, [float("inf")] * 6), (None, [9.0] * 6), (2200, []), (2201, [3.0]), (2250, [1e6] * 6)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("block", F.lit("x"))
     got = sorted(tuple(r) for r in topk.top_products(df, F.col("id") % 50 == 0).collect())
     assert got == brute([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows])
