@@ -39,7 +39,7 @@ CHOICES, ESTIMATES = 32, 256
 #: Documents with at least this estimate may belong together; a pair at 0.75 misses it once in some 10^6 times.
 MAYBE = 0.62
 #: Nodes of up to LEAF documents are compared; at DEEPEST, nodes are cut into chunks of CHUNK that share PIVOTS documents.
-LEAF, DEEPEST, CHUNK, PIVOTS = 200, 5, 2_000, 16
+LEAF, DEEPEST, CHUNK, PIVOTS = 2_000, 5, 2_000, 16
 #: Shingles and documents that one linking task takes of a candidate group; larger groups are dealt over pairs of blocks.
 TASK_SHINGLES, TASK_DOCUMENTS = 1_500_000, 2_500
 #: Candidate ids that may be broadcast to pick their texts.
@@ -53,34 +53,32 @@ SIGNATURE = "n_shingles long, h1 long, h2 long, lows binary, bits binary"
 
 def signatures(column: pa.Array) -> pd.DataFrame:
     """The fields of ``SIGNATURE`` for each text."""
-    sets = shingle_sets(column)
-    sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    lows = np.zeros((len(sets), CHOICES), dtype=np.uint32)
-    bits = np.zeros((len(sets), ESTIMATES), dtype=np.uint8)
-    full = np.flatnonzero(sizes)
-    group, held = [], 0
-
-    def flush() -> None:
-        flat = np.concatenate([sets[k] for k in group])
-        begins = np.concatenate(([0], np.cumsum(sizes[group])[:-1]))
-        work = np.empty_like(flat)
-        for j, factor in enumerate(_FACTORS):
-            np.multiply(flat, factor, out=work)
-            least = np.minimum.reduceat(work, begins)
-            if j < CHOICES:
-                lows[group, j] = least >> U64(32)
-            bits[group, j] = mix(least) >> U64(56)
-
-    for k in full:
-        group.append(k)
-        held += sizes[k]
-        if held > 60_000:
-            flush()
-            group, held = [], 0
-    if group:
-        flush()
-    digests = [np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64) for s in sets]
-    return pd.DataFrame({"n_shingles": sizes, "h1": [int(d[0]) for d in digests], "h2": [int(d[1]) for d in digests], "lows": [r.tobytes() for r in lows], "bits": [r.tobytes() for r in bits]})
+    n = len(column)
+    sizes, lows, bits = np.zeros(n, dtype=np.int64), np.zeros((n, CHOICES), dtype=np.uint32), np.zeros((n, ESTIMATES), dtype=np.uint8)
+    digests = np.zeros((n, 2), dtype=np.int64)
+    for top in range(0, n, 256):
+        sets = shingle_sets(column.slice(top, 256))
+        sizes[top : top + 256] = [len(s) for s in sets]
+        for k, s in enumerate(sets, top):
+            digests[k] = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), dtype=np.int64)
+        full = np.array([k for k, s in enumerate(sets) if len(s)], dtype=np.int64)
+        for rows in _groups(full, sizes[top + full], 60_000):
+            flat = np.concatenate([sets[k] for k in rows])
+            begins = np.concatenate(([0], np.cumsum(sizes[top + rows])[:-1]))
+            work = np.empty_like(flat)
+            for j, factor in enumerate(_FACTORS):
+                np.multiply(flat, factor, out=work)
+                least = np.minimum.reduceat(work, begins)
+                if j < CHOICES:
+                    lows[top + rows, j] = least >> U64(32)
+                bits[top + rows, j] = mix(least) >> U64(56)
+    return pd.DataFrame({"n_shingles": sizes, "h1": digests[:, 0], "h2": digests[:, 1], "lows": [r.tobytes() for r in lows], "bits": [r.tobytes() for r in bits]})
+
+
+def _groups(rows: np.ndarray, sizes: np.ndarray, most: int):
+    """Runs of rows of about ``most`` hashes, so that the work arrays stay in the processor's cache."""
+    part = np.cumsum(sizes) // most
+    return [rows[part == p] for p in np.unique(part)]
 
 
 def children(nodes: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -130,29 +128,66 @@ def _next_level(members: DataFrame, reps: DataFrame) -> DataFrame:
     return members.join(reps.select("rep", "lows"), "rep").select("node", "rep", "lows").mapInPandas(walk, "node long, rep long")
 
 
-def _maybe_together(rows: pd.DataFrame) -> pd.DataFrame:
+#: Equal bytes of two signatures that make a pair a candidate; unequal values agree in one byte of 256.
+_LEAST = math.ceil(ESTIMATES * (MAYBE + (1 - MAYBE) / 256))
+
+
+def _maybe_together(reps: np.ndarray, bits: np.ndarray) -> tuple[list, list]:
     """Each member of a node with the smallest member that it may belong with."""
-    rows = rows.drop_duplicates("rep").sort_values("rep")
-    reps = rows["rep"].to_numpy()
-    bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(reps), ESTIMATES)
-    least = ESTIMATES * (MAYBE + (1 - MAYBE) / 256)
-    open_rows = np.arange(len(reps))
+    rest = np.arange(len(reps))
     a, b = [], []
-    while len(open_rows) > 1:
-        root, open_rows = open_rows[0], open_rows[1:]
+    while len(rest) > 1:
+        root, rest = rest[0], rest[1:]
         queue = [root]
-        while queue and len(open_rows):
-            near = (bits[open_rows] == bits[queue.pop()]).sum(1) >= least
-            found = open_rows[near]
-            open_rows = open_rows[~near]
+        while queue and len(rest):
+            near = (bits[rest] == bits[queue.pop()]).sum(1) >= _LEAST
+            found, rest = rest[near], rest[~near]
             queue.extend(found)
             a.extend(reps[found])
             b.extend([reps[root]] * len(found))
+    return a, b
+
+
+def _compare_nodes(rows: pd.DataFrame, key: list[str]) -> pd.DataFrame:
+    """Candidate links inside each of the whole nodes that stand one after the other in ``rows``."""
+    groups = rows[key].to_numpy()
+    reps = rows["rep"].to_numpy()
+    same = (groups[1:] == groups[:-1]).all(1)
+    first = np.concatenate(([True], ~(same & (reps[1:] == reps[:-1]))))
+    groups, reps = groups[first], reps[first]
+    bits = np.frombuffer(b"".join(rows["bits"][first]), dtype=np.uint8).reshape(len(reps), ESTIMATES)
+    starts = np.flatnonzero(np.concatenate(([True], (groups[1:] != groups[:-1]).any(1))))
+    sizes = np.diff(np.append(starts, len(reps)))
+    two = starts[sizes == 2]
+    near = two[(bits[two] == bits[two + 1]).sum(1) >= _LEAST]
+    a, b = list(reps[near + 1]), list(reps[near])
+    for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        more = _maybe_together(reps[s : s + n], bits[s : s + n])
+        a += more[0]
+        b += more[1]
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
 def _compare(members: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
-    return members.join(reps.select("rep", "bits"), "rep").groupBy(*key).applyInPandas(_maybe_together, "a long, b long")
+    """Candidate links inside the nodes, which are of bounded size; nodes are dealt and sorted, and a task reads them in turn."""
+
+    def walk(batches):
+        held = None
+        for rows in batches:
+            if held is not None:
+                rows = pd.concat([held, rows], ignore_index=True)
+            if not len(rows):
+                continue
+            groups = rows[key].to_numpy()
+            begin = int(np.flatnonzero((groups != groups[-1]).any(1)).max(initial=-1)) + 1
+            held = rows.iloc[begin:].reset_index(drop=True)
+            if begin:
+                yield _compare_nodes(rows.iloc[:begin], key)
+        if held is not None and len(held):
+            yield _compare_nodes(held, key)
+
+    dealt = members.join(reps.select("rep", "bits"), "rep").select(*key, "rep", "bits")
+    return dealt.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(walk, "a long, b long")
 
 
 def candidate_links(reps: DataFrame, trees: int) -> DataFrame:
