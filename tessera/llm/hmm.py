@@ -43,8 +43,10 @@ FOLDS = 4
 #: Pseudo-counts of the corpus-wide distribution in every state, and of every transition.
 PRIOR_EMIT, PRIOR_STEP = 200.0, 5.0
 #: Tokens that are worked on together, distinct words that a counting task holds, and symbols in a row of counts.
-STRETCH, HELD, CHUNK = 250_000, 300_000, 2_048
-REMEMBERED = 400_000
+STRETCH, HELD, CHUNK = 100_000, 200_000, 2_048
+REMEMBERED = 250_000
+#: Bands of word counts for each power of two, by which the shared words are picked.
+BANDS = 64
 
 
 def tokens_of(text: str | None) -> list[bytes]:
@@ -57,43 +59,65 @@ def class_of(word: bytes) -> int:
 
 
 class _Numbers(dict):
-    """Symbol numbers: given for frequent words, by class for all others (remembered up to a bound)."""
+    """Places of the shared words; for any other word -1 - its class (remembered up to a bound)."""
 
-    def __init__(self, symbols: dict[bytes, int]):
-        super().__init__(symbols)
-        self.own = len(symbols)
-        self.symbols = symbols
+    def __init__(self, shared: dict[bytes, int]):
+        super().__init__(shared)
+        self.shared = shared
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > self.own + REMEMBERED:
+        if len(self) > len(self.shared) + REMEMBERED:
             self.clear()
-            self.update(self.symbols)
-            if word in self.symbols:
-                return self.symbols[word]
-        number = self[word] = self.own + class_of(word)
+            self.update(self.shared)
+            if word in self.shared:
+                return self.shared[word]
+        number = self[word] = -1 - class_of(word)
         return number
 
 
 @dataclass
 class Vocabulary:
-    """Corpus counts: totals, the shared words' counts, and each class's tokens and types."""
+    """Corpus counts: totals, the shared words by descending count, and each class's tokens and types.
+
+    The first ``n_symbols`` shared words are symbols of their own.
+    """
 
     total: int
     types: int
-    counts: dict[bytes, int]
-    symbols: dict[bytes, int]
+    words: list[bytes]
+    counts: np.ndarray
+    n_symbols: int
     class_tokens: np.ndarray
     class_types: np.ndarray
 
     @property
     def size(self) -> int:
-        return len(self.symbols) + CLASSES
+        return self.n_symbols + CLASSES
 
     def numbers(self) -> _Numbers:
         if "_numbers" not in self.__dict__:
-            self._numbers = _Numbers(self.symbols)
+            self._numbers = _Numbers({w: k for k, w in enumerate(self.words)})
+            self._class = np.array([class_of(w) for w in self.words], dtype=np.int64)
         return self._numbers
 
+    def symbols(self, places: np.ndarray) -> np.ndarray:
+        """Symbol numbers of places as ``numbers`` gives them."""
+        shared = self._class if len(self._class) else np.zeros(1, dtype=np.int64)
+        classes = np.where(places < 0, -1 - places, shared[np.maximum(places, 0)])
+        return np.where((places >= 0) & (places < self.n_symbols), places, self.n_symbols + classes)
+
+    def inner(self, places: np.ndarray) -> np.ndarray:
+        """log10 of each word's share of its class, without the counts of words that are not shared; 0 for symbols."""
+        room = np.log10(self.class_tokens + self.class_types + 1.0)
+        shared = self._class if len(self._class) else np.zeros(1, dtype=np.int64)
+        classes = np.where(places < 0, -1 - places, shared[np.maximum(places, 0)])
+        return np.where((places >= 0) & (places < self.n_symbols), 0.0, self.gains(places) - room[classes])
+
+    def gains(self, places: np.ndarray) -> np.ndarray:
+        """log10(c + 1) of shared words, 0 of others."""
+        logs = np.log10(self.counts + 1.0) if len(self.counts) else np.zeros(1)
+        return np.where(places >= 0, logs[np.maximum(places, 0)], 0.0)
+
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
@@ -126,23 +150,31 @@ def word_counts(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def vocabulary(counts: DataFrame) -> Vocabulary:
-    """The bounded part of the counts that every task gets."""
+    """The bounded part of the counts that every task gets.
+
+    The shared words are those of the highest bands of counts that hold at most
+    ``SHARED`` words together, so no task sorts or sends more than that.
+    """
     total, types = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.col("n").desc(), "token").limit(SHARED).collect()
-    shared = {bytes(r["token"]): r["n"] for r in top}
-    symbols = {w: k for k, w in enumerate(list(shared)[:SYMBOLS])}
-    if END in shared and END not in symbols:
-        symbols.popitem()
-        symbols[END] = len(symbols)
+    band = F.floor(F.log2(F.col("n").cast("double")) * BANDS)
+    held, least = 0, None
+    for r in sorted(counts.groupBy(band.alias("band")).count().collect(), key=lambda r: -r["band"]):
+        held += r["count"]
+        if held > SHARED:
+            break
+        least = r["band"]
+    top = counts.where((band >= least) | (F.col("token") == F.lit(END))).collect() if least is not None else counts.where(F.col("token") == F.lit(END)).collect()
+    top = sorted(((bytes(r["token"]), r["n"]) for r in top), key=lambda x: (x[0] != END, -x[1], x[0]))
+    words, numbers = [w for w, _ in top], np.array([n for _, n in top], dtype=np.int64)
+    n_symbols = min(SYMBOLS, len(words))
     last3 = F.expr("crc32(substring(token, greatest(octet_length(token) - 2, 1), 3))") % CLASSES
-    sums = counts.groupBy(last3.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect()
     tokens, kinds = np.zeros(CLASSES, dtype=np.int64), np.zeros(CLASSES, dtype=np.int64)
-    for r in sums:
+    for r in counts.groupBy(last3.alias("c")).agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
         tokens[r["c"]], kinds[r["c"]] = r["n"], r["v"]
-    for w in symbols:
-        tokens[class_of(w)] -= shared[w]
+    for w, n in zip(words[:n_symbols], numbers[:n_symbols], strict=True):
+        tokens[class_of(w)] -= n
         kinds[class_of(w)] -= 1
-    return Vocabulary(int(total), int(types), shared, symbols, tokens, kinds)
+    return Vocabulary(int(total), int(types), words, numbers, n_symbols, tokens, kinds)
 
 
 def first_guess(vocab: Vocabulary) -> Hmm:
@@ -150,7 +182,7 @@ def first_guess(vocab: Vocabulary) -> Hmm:
     draw = np.random.Generator(np.random.Philox(11))
     lean = draw.normal(size=(65_536, STATES))
     noise = np.zeros((vocab.size, STATES))
-    for word, k in vocab.symbols.items():
+    for k, word in enumerate(vocab.words[: vocab.n_symbols]):
         pairs = [a << 8 | b for a, b in zip(word, word[1:], strict=False)] or [word[0] if word else 0]
         noise[k] = lean[pairs].sum(0) / math.sqrt(len(pairs))
     emit = frequencies(vocab)[:, None] * np.exp(0.7 * noise)
@@ -161,9 +193,8 @@ def first_guess(vocab: Vocabulary) -> Hmm:
 def frequencies(vocab: Vocabulary) -> np.ndarray:
     """The corpus-wide distribution over symbols, add-one."""
     out = np.ones(vocab.size)
-    for word, k in vocab.symbols.items():
-        out[k] += vocab.counts[word]
-    out[len(vocab.symbols) :] += vocab.class_tokens
+    out[: vocab.n_symbols] += vocab.counts[: vocab.n_symbols]
+    out[vocab.n_symbols :] += vocab.class_tokens
     return out / out.sum()
 
 
@@ -224,13 +255,14 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
     return gamma[: active[0]].sum(0), steps, emits
 
 
-def _sequences(texts, numbers: _Numbers) -> Iterator[list[np.ndarray]]:
-    """Symbol sequences in groups of about ``STRETCH`` tokens."""
+def _sequences(texts, vocab: Vocabulary) -> Iterator[list[tuple[np.ndarray, list[bytes]]]]:
+    """Places and words of each text, in groups of about ``STRETCH`` tokens."""
+    find = vocab.numbers().__getitem__
     held, size = [], 0
     for t in texts:
         words = tokens_of(t)
         words.append(END)
-        held.append(np.fromiter(map(numbers.__getitem__, words), dtype=np.int64, count=len(words)))
+        held.append((np.fromiter(map(find, words), dtype=np.int64, count=len(words)), words))
         size += len(words)
         if size > STRETCH:
             yield held
@@ -249,8 +281,8 @@ def training_pass(docs: DataFrame, vocab, model: Hmm, text: str = "text") -> tup
         held, hmm = shared.value
         starts, steps, emits, seen = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES)), False
         for rows in batches:
-            for group in _sequences(rows[text], held.numbers()):
-                a, b, c = expected_counts(hmm, group)
+            for group in _sequences(rows[text], held):
+                a, b, c = expected_counts(hmm, [held.symbols(places) for places, _ in group])
                 starts += a
                 steps += b
                 emits += c
@@ -305,29 +337,13 @@ def scores(docs: DataFrame, model: Hmm, vocab: Vocabulary, counts: DataFrame, co
     @F.pandas_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
     def scored(texts: pd.Series) -> pd.DataFrame:
         held, hmm = shared.value
-        numbers, known = held.numbers(), held.counts
-        likelihood = [x for group in _sequences(texts, numbers) for x in forward(hmm, group)[0]]
-        room = np.log10(held.class_tokens + held.class_types + 1.0)
         out = []
-        for t, natural in zip(texts, likelihood, strict=True):
-            words = Counter(tokens_of(t))
-            words[END] += 1
-            n = seen = 0
-            base, inner, rare = 0.0, 0.0, []
-            for w, times in words.items():
-                n += times
-                c = known.get(w)
-                if c is None:
-                    rare += [w] * times
-                    inner -= times * room[class_of(w)]
-                    base -= times * base_room
-                    continue
-                seen += times
-                share = math.log10(c + 1)
-                base += times * (share - base_room)
-                if w not in held.symbols:
-                    inner += times * (share - room[class_of(w)])
-            out.append((n, seen, base, natural / math.log(10) + inner, rare))
+        for group in _sequences(texts, held):
+            natural = forward(hmm, [held.symbols(places) for places, _ in group])[0]
+            for (places, words), likelihood in zip(group, natural, strict=True):
+                n, rare = len(places), np.flatnonzero(places < 0)
+                base = float(held.gains(places).sum()) - n * base_room
+                out.append((n, n - len(rare), base, likelihood / math.log(10) + float(held.inner(places).sum()), [words[k] for k in rare.tolist()]))
         return pd.DataFrame(out, columns=["n_tokens", "known", "base", "model", "rare"])
 
     rows = docs.select(*columns, scored(F.col(text)).alias("_s"))
