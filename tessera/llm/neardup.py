@@ -3,8 +3,12 @@
 Every distinct shingle set walks down independent trees. At a node, the path goes on
 through one or two minwise tokens that the node itself selects (4/3 on average, the
 inverse of the threshold), and the documents that agree on the token meet in the child.
-Nodes of few documents are compared exhaustively, larger ones branch again. Comparisons
-inside nodes use 256 one-byte minwise values, far below the threshold, and only say
+Nodes of few documents are compared exhaustively, larger ones branch again. Nodes that
+are still large after five levels hold documents that share much without being alike:
+members that already are one candidate group need no comparison among themselves, the
+other members go with them if they are few, and otherwise the node branches on, by two
+tokens that no node above has used. What is large after the last level is compared over
+all pairs of its chunks, so no node leaves out a pair. Comparisons inside nodes use 256 one-byte minwise values, far below the threshold, and only say
 which documents may belong together; every such candidate group is then linked on its
 full sets, by exact intersection counts. The trees are as many as the target recall of
 a pair at the threshold asks for.
@@ -38,8 +42,8 @@ from tessera.llm.words import U64, mix, shingle_sets
 CHOICES, ESTIMATES = 32, 256
 #: Documents with at least this estimate may belong together; a pair at 0.75 misses it once in some 10^6 times.
 MAYBE = 0.62
-#: Nodes of up to LEAF documents are compared; at DEEPEST, nodes are cut into chunks of CHUNK that share PIVOTS documents.
-LEAF, DEEPEST, CHUNK, PIVOTS = 2_000, 5, 2_000, 16
+#: Nodes of up to LEAF documents are compared; at DEEPEST, chunks of CHUNK that share PIVOTS documents show what is one group already; at LAST, all pairs of chunks are compared.
+LEAF, DEEPEST, CHUNK, PIVOTS, LAST = 2_000, 5, 2_000, 16, 13
 #: Shingles and documents that one linking task takes of a candidate group; larger groups are dealt over pairs of blocks.
 TASK_SHINGLES, TASK_DOCUMENTS = 1_500_000, 2_500
 #: Candidate ids that may be broadcast to pick their texts.
@@ -93,15 +97,26 @@ def children(nodes: np.ndarray, lows: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(out), np.concatenate(rows)
 
 
+def fresh_children(nodes: np.ndarray, bits: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``children`` for nodes at ``depth`` from DEEPEST on: two children each, by one-byte values of the level's own places."""
+    width = (ESTIMATES - CHOICES) // max(1, LAST - DEEPEST)
+    first = mix(nodes + U64(1)) % U64(width)
+    out = []
+    for step in (U64(0), U64(1) + mix(nodes + U64(2)) % U64(width - 1)):
+        place = CHOICES + width * (depth - DEEPEST) + ((first + step) % U64(width)).astype(np.int64)
+        value = bits[np.arange(len(nodes)), place].astype(np.uint64)
+        out.append(mix(nodes * U64(0x9E3779B97F4A7C15) + mix(value + (place.astype(np.uint64) << U64(40)))))
+    return np.concatenate(out), np.tile(np.arange(len(nodes)), 2)
+
+
 def trees_for(recall: float, threshold: float) -> int:
-    """Trees after which a pair at the threshold has met with the given probability, if it must survive five levels."""
-    meets = 0.0
+    """Trees after which a pair at the threshold has met with the given probability, if it must survive all levels."""
     survive = 1.0
-    for _ in range(DEEPEST):
+    for depth in reversed(range(LAST)):
         one = threshold * survive
-        survive = (2 * one + (1 - (1 - one) ** 2)) / 3
-        meets = survive
-    return math.ceil(math.log(1 - recall) / math.log(1 - meets))
+        two = 1 - (1 - one) ** 2
+        survive = two if depth >= DEEPEST else (2 * one + two) / 3
+    return math.ceil(math.log(1 - recall) / math.log(1 - survive))
 
 
 def _first_level(reps: DataFrame, trees: int) -> DataFrame:
@@ -128,6 +143,18 @@ def _next_level(members: DataFrame, reps: DataFrame) -> DataFrame:
     return members.join(reps.select("rep", "lows"), "rep").select("node", "rep", "lows").mapInPandas(walk, "node long, rep long")
 
 
+def _deeper_level(members: DataFrame, reps: DataFrame, depth: int) -> DataFrame:
+    def walk(batches):
+        for rows in batches:
+            if not len(rows):
+                continue
+            bits = np.frombuffer(b"".join(rows["bits"]), dtype=np.uint8).reshape(len(rows), ESTIMATES)
+            nodes, at = fresh_children(rows["node"].to_numpy().view(np.uint64), bits, depth)
+            yield pd.DataFrame({"node": nodes.view(np.int64), "rep": rows["rep"].to_numpy()[at]})
+
+    return members.join(reps.select("rep", "bits"), "rep").select("node", "rep", "bits").mapInPandas(walk, "node long, rep long")
+
+
 #: Equal bytes of two signatures that make a pair a candidate; unequal values agree in one byte of 256.
 _LEAST = math.ceil(ESTIMATES * (MAYBE + (1 - MAYBE) / 256))
 
@@ -192,27 +219,59 @@ def _compare(members: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
 
 def candidate_links(reps: DataFrame, trees: int) -> DataFrame:
     """Links ``a, b`` whose connected groups hold every pair that some node finds alike enough (``rep, lows, bits``)."""
-    links = None
+    links = labels = None
     members = keep(_first_level(reps, trees), "nodes-1")
-    for depth in range(1, DEEPEST + 1):
+    for depth in range(1, LAST + 1):
         sizes = keep(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{depth}")
-        if depth < DEEPEST:
-            found = _compare(members.join(sizes.where(f"size <= {LEAF}"), "node"), reps, ["node"])
-        else:
-            held = members.join(sizes, "node").withColumn("chunks", F.ceil(F.col("size") / CHUNK))
-            dealt = held.select("node", "rep", F.pmod(F.xxhash64("node", "rep"), "chunks").alias("chunk"))
-            order = F.row_number().over(_by_hash())
-            pivots = held.where("chunks > 1").withColumn("_n", order).where(f"_n <= {PIVOTS}")
-            shared = pivots.select("node", "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).alias("chunk"))
-            found = _compare(dealt.unionByName(shared), reps, ["node", "chunk"])
+        found = _compare(members.join(sizes.where(f"size <= {LEAF}"), "node"), reps, ["node"])
         links = found if links is None else links.unionByName(found)
         big = sizes.where(f"size > {LEAF}")
-        if depth == DEEPEST or big.isEmpty():
+        if big.isEmpty():
             return links
-        members = keep(_next_level(members.join(big.select("node"), "node"), reps), f"nodes-{depth + 1}")
+        members = members.join(big, "node")
+        if depth < DEEPEST:
+            members = keep(_next_level(members, reps), f"nodes-{depth + 1}")
+            continue
+        if labels is None:
+            links = keep(links.unionByName(_compare(_sampled(members), reps, ["node", "chunk"])), "near")
+            labels = components(links).withColumnRenamed("node", "rep")
+        members = keep(members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), f"big-{depth}")
+        main = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("node").agg(F.max(F.struct("_n", "label")).alias("main"))
+        members = members.join(keep(main.select("node", F.col("main._n").alias("most"), F.col("main.label").alias("main")), f"main-{depth}"), "node").withColumn("others", F.col("size") - F.col("most"))
+        links = links.unionByName(_compare(_with_others(members.where(f"others between 1 and {LEAF}")), reps, ["node", "chunk"]))
+        members = members.where(f"others > {LEAF}")
+        if depth == LAST:
+            return links.unionByName(_compare(_all_pairs(members), reps, ["node", "low", "high"]))
+        members = keep(_deeper_level(members, reps, depth), f"nodes-{depth + 1}")
     return links
 
 
+def _sampled(members: DataFrame) -> DataFrame:
+    """Chunks of large nodes, each with its node's pivots: what these link is one group, whatever else the nodes hold."""
+    held = members.withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+    dealt = held.select("node", "rep", F.pmod(F.xxhash64("node", "rep"), "chunks").alias("chunk"))
+    pivots = held.withColumn("_n", F.row_number().over(_by_hash())).where(f"_n <= {PIVOTS}")
+    return dealt.unionByName(pivots.select("node", "rep", _up_to("chunks").alias("chunk")))
+
+
+def _with_others(members: DataFrame) -> DataFrame:
+    """Chunks of each node's largest group, each with all of the node's other members."""
+    held = members.withColumn("chunks", F.ceil(F.col("most") / CHUNK))
+    dealt = held.where("label = main").select("node", "rep", F.pmod(F.xxhash64("node", "rep"), "chunks").alias("chunk"))
+    return dealt.unionByName(held.where("label <> main").select("node", "rep", _up_to("chunks").alias("chunk")))
+
+
+def _all_pairs(members: DataFrame) -> DataFrame:
+    """Every pair of chunks of each node."""
+    held = members.withColumn("chunks", F.ceil(F.col("size") / CHUNK))
+    held = held.select("node", "rep", F.pmod(F.xxhash64("node", "rep"), "chunks").alias("_own"), _up_to("chunks").alias("_other"))
+    return held.select("node", "rep", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"))
+
+
+def _up_to(chunks: str):
+    return F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks) - 1))
+
+
 def _by_hash():
     from pyspark.sql import Window
 

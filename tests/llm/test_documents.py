@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm import hmm, labelled, neardup, packing, pieces, quality, secrets, sharding, tiff, toxicity
+from tessera.llm.graph import components
 from tessera.llm.words import shingle_sets
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, label string, bin long, token string, rep long"
@@ -364,6 +365,21 @@ def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     assert {i: got[i]["n_shingles"] for i in ids} == {i: len(s) for i, s in zip(ids, sets, strict=True)}
 
 
+@pytest.mark.parametrize("last,trees,n", [(5, 1, 300), (13, 16, 150)])
+def test_large_deepest_nodes_leave_out_no_pair(spark, last, trees, n, monkeypatch):
+    """Documents that agree in all values that choose paths, as by a shared passage, with alike pairs among them."""
+    for name, value in (("LEAF", 5), ("CHUNK", 5), ("PIVOTS", 1), ("LAST", last)):
+        monkeypatch.setattr(neardup, name, value, raising=False)
+    rng = np.random.default_rng(11)
+    bits = rng.integers(0, 256, (n, 256), dtype=np.uint8)
+    bits[rng.random(bits.shape) < 0.45] = 7
+    bits[1:80:2] = np.where(rng.random((40, 256)) < 0.8, bits[:80:2], bits[1:80:2])
+    lows = rng.integers(0, 2**32, 32, dtype=np.uint32).tobytes()
+    reps = spark.createDataFrame([(k, bytearray(lows), bytearray(b.tobytes())) for k, b in enumerate(bits)], "rep long, lows binary, bits binary")
+    found = {(r["node"], r["label"]) for r in components(neardup.candidate_links(reps, trees)).collect()}
+    assert found == {(k, k - k % 2) for k in range(80)}
+
+
 def test_near_duplicates_on_awkward_rows(spark, docs):
     got = neardup.near_duplicates(docs).collect()
     assert len(got) == docs.count() and neardup.near_duplicates(docs.limit(0)).count() == 0
