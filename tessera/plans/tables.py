@@ -310,7 +310,7 @@ def q_prompts(spark, d):
 
 
 def q_description_prompts(spark, d):
-    docs = table(spark, d, "documents").select(F.col("lang").alias("name"), F.substring("text", 1, 40).alias("text"))
+    docs = table(spark, d, "documents").select(F.col("lang").alias("name"), "text")
     return T.description_prompts(docs, "name", "text", TEST_FAMILIES)
 
 

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import text as T
 from tessera.operators import alignment, priors, retrieval, scoring, stacking
+from tessera.plans import tables
 from tessera.sources import images, predictions
 
 
@@ -195,3 +196,11 @@ def test_submission_checks(spark):
     assert priors.check_submission(good).count() == 0
     bad = good.unionByName(spark.createDataFrame([("z", "q8rle 1 1 255 1")], "ID string, Label string"))
     assert {r["level"] for r in priors.check_submission(bad).collect()} == {"error", "warning"}
+
+
+def test_description_prompts_take_whole_texts(spark, tmp_path):
+    start = "x" * 50
+    docs = spark.createDataFrame([("en", f"{start} a password"), ("en", f"{start} zzz")], "lang string, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["prompt"] for r in tables.q_description_prompts(spark, str(tmp_path)).collect()}
+    assert len(got) == 2 * 2 + 2 * 3 and f"a photo of a defective en: {start} zzz" in got and "a en showing third" in got
