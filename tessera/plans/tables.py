@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tessera.functions import arrays as A
 from tessera.functions import text as T
 from tessera.operators import alignment, metrics, ordering, priors, retrieval, scoring, stacking
+from tessera.plans import detectors
 from tessera.plans.maps import maps, q_encode
 from tessera.sources import images, predictions
 from tessera.streaming import scoring as streams
@@ -223,11 +224,15 @@ def _mixture_sql() -> str:
     return f"WITH v AS (SELECT vec_id, {cols} FROM embeddings), l AS (SELECT vec_id, {', '.join(f'{t} AS l{k}' for k, t in enumerate(terms))} FROM v) SELECT vec_id, round(-(greatest(l0, l1, l2) + ln({lse})), 5) AS nll FROM l"
 
 
+#: Rows that the mixture is fitted on at most; the detector's own bound.
+FIT_ROWS = detectors.MixtureConfig.fit_subsample
+
+
 def q_mixture_fit(spark, d):
-    """A Dirichlet-process mixture fitted to a bounded sample, scored inside the JVM: how many components, and the mean score by class."""
-    rows = vectors(spark, d).select("vec_id", "label", F.slice("embedding", 1, 8).alias("v"))
-    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(400).collect()])
-    weights, means, precisions = scoring.fit_mixture(sample, components=8, steps=60)
+    """A Dirichlet-process mixture fitted to whole vectors of at most FIT_ROWS rows, scored inside the JVM: how many components, and the mean score by class."""
+    rows = vectors(spark, d).select("vec_id", "label", F.col("embedding").alias("v"))
+    sample = np.array([r["v"] for r in rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(FIT_ROWS).collect()])
+    weights, means, precisions = scoring.fit_mixture(sample, components=8)
     return rows.select("label", scoring.mixture_log_density(F.col("v"), weights, means, precisions).alias("l")).groupBy("label").agg(F.avg("l").alias("log_density")).withColumn("components", F.lit(len(weights)))
 
 

@@ -204,3 +204,10 @@ def test_description_prompts_take_whole_texts(spark, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = {r["prompt"] for r in tables.q_description_prompts(spark, str(tmp_path)).collect()}
     assert len(got) == 2 * 2 + 2 * 3 and f"a photo of a defective en: {start} zzz" in got and "a en showing third" in got
+
+
+def test_mixture_fit_takes_more_than_400_whole_vectors(spark, small, tmp_path, monkeypatch):
+    seen, fit = [], scoring.fit_mixture
+    monkeypatch.setattr(scoring, "fit_mixture", lambda rows, *a, **b: (seen.append(rows.shape), fit(rows, *a, **b))[1])
+    assert tables.q_mixture_fit(spark, small).where("log_density is not null").count() > 1
+    assert seen == [(500, 64)]
