@@ -14,14 +14,14 @@ from tessera.store import keep
 BLOCK, BROADCAST_BYTES = 8_192, 256 << 20
 
 
-def bank_distances(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def bank_distances(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str = "cosine", key: str = "vec_id", vector: str = "embedding", others: bool = False) -> DataFrame:
     """``key, distance`` for every query: the mean over its ``min(k, bank)`` nearest bank rows.
 
     ``cosine``: 1 - similarity; ``l2``: squared Euclidean distance. Bank rows are dealt
     into blocks; a task compares a block with the queries batch by batch and gives the k
     best of each query, and the best of all blocks are averaged. A bank of checked size
     is sent along whole; a larger one is read block by block against all queries.
-    An empty bank gives null distances.
+    An empty bank gives null distances. With ``others``, a bank row of the query's own key is left out.
     """
     if metric not in ("cosine", "l2"):
         raise ValueError(f"unknown metric {metric}")
@@ -30,32 +30,37 @@ def bank_distances(queries: DataFrame, bank: DataFrame, k: int = 1, metric: str
     if count == 0:
         return queries.select(key, F.lit(None).cast("double").alias("distance"))
     if width * count * 8 <= BROADCAST_BYTES:
-        block = np.array([r[0] for r in bank.select(A.as_double(F.col(vector))).collect()])
-        held = queries.sparkSession.sparkContext.broadcast(block)
+        rows = bank.select(key, A.as_double(F.col(vector))).collect()
+        held = queries.sparkSession.sparkContext.broadcast((np.array([r[0] for r in rows]), np.array([r[1] for r in rows])))
 
         @F.pandas_udf("double")
-        def nearest(vectors: pd.Series) -> pd.Series:
-            best = _nearest(np.stack(vectors.to_numpy()).astype(float), held.value, k, metric) if len(vectors) else np.zeros((0, 1))
-            return pd.Series(best.mean(1))
-
-        return queries.select(key, nearest(F.col(vector)).alias("distance"))
+        def nearest(keys: pd.Series, vectors: pd.Series) -> pd.Series:
+            if not len(vectors):
+                return pd.Series([], dtype=float)
+            ids, block = held.value
+            best = _nearest(np.stack(vectors.to_numpy()).astype(float), block, k, metric, (keys.to_numpy(), ids) if others else None)
+            found = np.isfinite(best)
+            return pd.Series([b[f].mean() if f.any() else None for b, f in zip(best, found, strict=True)] if others else best.mean(1), dtype="Float64" if others else float)
+
+        return queries.select(key, nearest(F.col(key), F.col(vector)).alias("distance"))
     blocks = -(-count // BLOCK)
-    dealt = bank.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), vector)
+    dealt = bank.select(F.pmod(F.xxhash64(key), F.lit(blocks)).alias("_block"), key, vector)
     asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("_block"), key, vector)
 
     def compare(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({key: [], "distance": []}).astype({key: "int64", "distance": "float64"})
-        best = _nearest(np.stack(left[vector].to_numpy()).astype(float), np.stack(right[vector].to_numpy()).astype(float), k, metric)
+        best = _nearest(np.stack(left[vector].to_numpy()).astype(float), np.stack(right[vector].to_numpy()).astype(float), k, metric, (left[key].to_numpy(), right[key].to_numpy()) if others else None)
         return pd.DataFrame({key: np.repeat(left[key].to_numpy(), best.shape[1]), "distance": best.ravel()})
 
     found = asked.groupBy("_block").cogroup(dealt.groupBy("_block")).applyInPandas(compare, f"{key} long, distance double")
     order = Window.partitionBy(key).orderBy("distance")
+    found = found.where(F.col("distance") < float("inf")) if others else found
     return found.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= k).groupBy(key).agg(F.avg("distance").alias("distance"))
 
 
-def _nearest(queries: np.ndarray, bank: np.ndarray, k: int, metric: str) -> np.ndarray:
-    """The smallest ``min(k, len(bank))`` distances of each query, ascending."""
+def _nearest(queries: np.ndarray, bank: np.ndarray, k: int, metric: str, keys: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """The smallest ``min(k, len(bank))`` distances of each query, ascending; with ``keys`` of both, infinite to the same key."""
     if metric == "cosine":
         queries = queries / np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
         bank = bank / np.maximum(np.linalg.norm(bank, axis=1, keepdims=True), 1e-12)
@@ -67,6 +72,8 @@ def _nearest(queries: np.ndarray, bank: np.ndarray, k: int, metric: str) -> np.n
         for a in range(0, len(bank), BLOCK):
             b = bank[a : a + BLOCK]
             d = 1 - q @ b.T if metric == "cosine" else np.maximum((q * q).sum(1)[:, None] - 2 * q @ b.T + (b * b).sum(1), 0)
+            if keys is not None:
+                d[keys[0][top : top + 1024, None] == keys[1][a : a + BLOCK]] = np.inf
             best = np.sort(np.concatenate([best, np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, :k]], axis=1), axis=1)[:, :k]
         parts.append(best)
     return np.concatenate(parts)

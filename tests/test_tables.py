@@ -211,3 +211,18 @@ def test_mixture_fit_takes_more_than_400_whole_vectors(spark, small, tmp_path, m
     monkeypatch.setattr(scoring, "fit_mixture", lambda rows, *a, **b: (seen.append(rows.shape), fit(rows, *a, **b))[1])
     assert tables.q_mixture_fit(spark, small).where("log_density is not null").count() > 1
     assert seen == [(500, 64)]
+
+
+def test_bank_queries_score_every_row_against_the_other_normal_rows(spark, small, monkeypatch):
+    rows = sorted(tables.vectors(spark, small).collect())
+    m, normal = np.array([r["embedding"] for r in rows]), np.array([r["label"] == 0 for r in rows])
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    d = 1 - m @ m.T
+    d[:, ~normal] = np.inf
+    np.fill_diagonal(d, np.inf)
+    for query, k in ((tables.QUERIES["knn_bank_k3"], 3), (tables.QUERIES["stream_bank"], 1)):
+        got = {r["vec_id"]: r["distance"] for r in query(spark, small).collect()}
+        assert np.allclose([got[r["vec_id"]] for r in rows], np.sort(d, axis=1)[:, :k].mean(1), atol=1e-5)
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    got = {r["vec_id"]: r["distance"] for r in tables.QUERIES["knn_bank_k1"](spark, small).collect()}
+    assert np.allclose([got[r["vec_id"]] for r in rows], d.min(1), atol=1e-5)
