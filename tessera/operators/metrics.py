@@ -18,7 +18,7 @@ def average_precision(df: DataFrame, score: str, label: str, by: tuple[str, ...]
     """
     rows = df.where(F.col(score).isNotNull() & F.col(label).isNotNull())
     tied = rows.groupBy(*by, F.col(score).alias("_score")).agg(F.sum((F.col(label) > 0).cast("long")).alias("_tp"), F.count(F.lit(1)).alias("_n"))
-    summed = running_totals(tied, by, [F.col("_score").desc()], {"_tp_to": "_tp", "_n_to": "_n"})
+    summed = running_totals(tied, by, [F.col("_score")], {"_tp_to": "_tp", "_n_to": "_n"}, descending=True)
     area = F.sum(F.col("_tp") * F.col("_tp_to") / F.col("_n_to"))
     out = summed.groupBy(*by).agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum("_tp"), F.lit(0)).alias("n_positive"), area.alias("_area"))
     return out.select(*by, "n", "n_positive", F.when(F.col("n_positive") > 0, F.col("_area") / F.col("n_positive")).otherwise(0.0).alias("ap"))

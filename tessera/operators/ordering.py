@@ -8,23 +8,27 @@ from pyspark.sql import functions as F
 from tessera.store import keep, tasks
 
 
-def running_totals(df: DataFrame, by: tuple[str, ...], order: list[Column], sums: dict[str, str]) -> DataFrame:
+def running_totals(df: DataFrame, by: tuple[str, ...], order: list[Column], sums: dict[str, str], descending: bool = False) -> DataFrame:
     """``df`` with running sums in a total order: ``sums`` maps new columns to the columns that are added up.
 
-    With groups this is a window. Without, the rows are range-dealt over tasks, added up
-    inside each range, and shifted by the totals of the ranges before, so that no task
-    gets all rows. The order must be total, or ties fall in any order.
+    ``order`` holds plain expressions; ``descending`` turns all of them round. With groups
+    this is a window. Without, the rows are range-dealt over tasks, added up inside each
+    range, and shifted by the totals of the ranges before, so that no task gets all rows.
+    The order must be total, or ties fall in any order.
     """
+    keys = [f"_order{k}" for k in range(len(order))]  # named: expressions bound to df do not resolve in the written table
+    df = df.withColumns(dict(zip(keys, order, strict=True)))
+    order = [F.col(k).desc() if descending else F.col(k) for k in keys]
     if by:
         frame = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({new: F.sum(old).over(frame) for new, old in sums.items()})
+        return df.withColumns({new: F.sum(old).over(frame) for new, old in sums.items()}).drop(*keys)
     ranged = keep(df.repartitionByRange(tasks(df.sparkSession), *order).withColumn("_range", F.spark_partition_id()), "ranges")
     totals = ranged.groupBy("_range").agg(*[F.sum(old).alias(f"_all_{new}") for new, old in sums.items()])
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
     shifts = totals.select("_range", *[F.coalesce(F.sum(f"_all_{new}").over(before), F.lit(0)).alias(f"_all_{new}") for new in sums])
     inside = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     shifted = ranged.join(F.broadcast(shifts), "_range")
-    return shifted.withColumns({new: F.sum(old).over(inside) + F.col(f"_all_{new}") for new, old in sums.items()}).drop("_range", *[f"_all_{new}" for new in sums])
+    return shifted.withColumns({new: F.sum(old).over(inside) + F.col(f"_all_{new}") for new, old in sums.items()}).drop("_range", *keys, *[f"_all_{new}" for new in sums])
 
 
 SCOPES = ("none", "global", "per_class", "per_class_view", "per_image")
