@@ -3,21 +3,27 @@
 Words are maximal runs of bytes other than space and \\t..\\r with A-Z lower-cased; each
 text ends with one end token. The most frequent words are symbols of their own; every
 other word, seen or not, belongs to a class by its last three bytes, and stands in it
-with its add-one share, so the model gives every text an exact probability:
+with its add-one share:
 
     P(word | state) = P(class | state) * (c + 1) / (N_class + V_class + 1)
 
+The likelihood of a text under these probabilities is exact (no beam, no sampling). As in
+the base score, a class has one unseen place that all its unseen words share, so over
+seen words and one unseen word a class the probabilities add up to one.
+
 Training counts are sums over partitions: each task runs forward-backward over its
 documents and sends expected counts, which are added up in two steps. Training passes
-over the corpus in folds first, one M-step for each, then over all of it.
+over the corpus in folds first, one M-step for each, then over all of it. Texts are read
+twice, to count words and to number them; all passes read the written numbers.
 
 The counts of the words beyond the ``SHARED`` most frequent ones are never gathered in
 one place: a text's rare words are joined with the table of counts.
 
 Defined results: a null or empty text is the end token alone. Without training rows all
 counts are zero: the base score is 0 and the model is uniform. Repeated rows give
-repeated results; a null id is in no fold and is learnt from. An empty table gives an
-empty result.
+repeated results; a null id is learnt from. An empty table gives an empty result. Texts of
+any length are learnt from and scored whole. Columns other than the key, the text and
+those asked for are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -45,6 +51,8 @@ PRIOR_EMIT, PRIOR_STEP = 200.0, 5.0
 #: Tokens that are worked on together, distinct words that a counting task holds, and symbols in a row of counts.
 STRETCH, HELD, CHUNK = 100_000, 200_000, 2_048
 REMEMBERED = 250_000
+#: How a symbol is written: 32,768 words and 1,024 classes fit two bytes.
+SYMBOL = np.dtype("<u2")
 #: Bands of word counts for each power of two, by which the shared words are picked.
 BANDS = 64
 
@@ -97,26 +105,29 @@ class Vocabulary:
     def numbers(self) -> _Numbers:
         if "_numbers" not in self.__dict__:
             self._numbers = _Numbers({w: k for k, w in enumerate(self.words)})
-            self._class = np.array([class_of(w) for w in self.words], dtype=np.int64)
         return self._numbers
 
+    def _tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """By place, with the classes (places below 0) at the end: symbol numbers, shares of the class, and log10(c + 1)."""
+        if "_by_place" not in self.__dict__:
+            classes = np.concatenate((np.array([class_of(w) for w in self.words], dtype=np.int64), np.arange(CLASSES)[::-1]))
+            own = np.arange(len(classes)) < self.n_symbols
+            gains = np.concatenate((np.log10(self.counts + 1.0), np.zeros(CLASSES)))
+            room = np.log10(self.class_tokens + self.class_types + 1.0)
+            self._by_place = np.where(own, np.arange(len(classes)), self.n_symbols + classes), np.where(own, 0.0, gains - room[classes]), gains
+        return self._by_place
+
     def symbols(self, places: np.ndarray) -> np.ndarray:
         """Symbol numbers of places as ``numbers`` gives them."""
-        shared = self._class if len(self._class) else np.zeros(1, dtype=np.int64)
-        classes = np.where(places < 0, -1 - places, shared[np.maximum(places, 0)])
-        return np.where((places >= 0) & (places < self.n_symbols), places, self.n_symbols + classes)
+        return self._tables()[0][places]
 
     def inner(self, places: np.ndarray) -> np.ndarray:
         """log10 of each word's share of its class, without the counts of words that are not shared; 0 for symbols."""
-        room = np.log10(self.class_tokens + self.class_types + 1.0)
-        shared = self._class if len(self._class) else np.zeros(1, dtype=np.int64)
-        classes = np.where(places < 0, -1 - places, shared[np.maximum(places, 0)])
-        return np.where((places >= 0) & (places < self.n_symbols), 0.0, self.gains(places) - room[classes])
+        return self._tables()[1][places]
 
     def gains(self, places: np.ndarray) -> np.ndarray:
         """log10(c + 1) of shared words, 0 of others."""
-        logs = np.log10(self.counts + 1.0) if len(self.counts) else np.zeros(1)
-        return np.where(places >= 0, logs[np.maximum(places, 0)], 0.0)
+        return self._tables()[2][places]
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
@@ -255,34 +266,80 @@ def expected_counts(model: Hmm, sequences: list[np.ndarray]) -> tuple[np.ndarray
     return gamma[: active[0]].sum(0), steps, emits
 
 
-def _sequences(texts, vocab: Vocabulary) -> Iterator[list[tuple[np.ndarray, list[bytes]]]]:
-    """Places and words of each text, in groups of about ``STRETCH`` tokens."""
-    find = vocab.numbers().__getitem__
-    held, size = [], 0
-    for t in texts:
-        words = tokens_of(t)
-        words.append(END)
-        held.append((np.fromiter(map(find, words), dtype=np.int64, count=len(words)), words))
-        size += len(words)
+def _length(text: str | None) -> int:
+    return len(text or "")
+
+
+def _groups(sequences: pd.Series) -> Iterator[tuple[list[int], list[np.ndarray]]]:
+    """Rows and symbols of written sequences, in groups of about ``STRETCH`` tokens of like length, so that the recursion's steps work on many rows."""
+    held, rows, size = [], [], 0
+    lengths = sequences.map(len).to_numpy()
+    for k in np.argsort(lengths, kind="stable").tolist():
+        held.append(np.frombuffer(sequences.iat[k], dtype=SYMBOL))
+        rows.append(k)
+        size += len(held[-1])
         if size > STRETCH:
-            yield held
-            held, size = [], 0
+            yield rows, held
+            held, rows, size = [], [], 0
     if held:
-        yield held
+        yield rows, held
+
+
+NUMBERED = "n_tokens long, known long, base double, inner double, symbols binary, rare array<binary>"
+
+
+def numbered(docs: DataFrame, vocab: Vocabulary, columns: list[Column], fold: Column, text: str = "text") -> DataFrame:
+    """``columns``, ``fold`` and ``NUMBERED`` for every row: texts as symbols, so that the passes over them read no text again.
+
+    ``rare`` holds the words whose counts are not shared; ``base`` and ``inner`` lack their counts.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocab)
+    base_room = math.log10(vocab.total + vocab.types + 1)
+
+    def number(texts: list, held: Vocabulary) -> list[tuple]:
+        find = held.numbers().__getitem__
+        words = [[*tokens_of(t), END] for t in texts]
+        sizes = np.array([len(w) for w in words])
+        flat, begins = np.fromiter((find(w) for each in words for w in each), dtype=np.int64, count=int(sizes.sum())), np.cumsum(sizes) - sizes
+        base = np.add.reduceat(held.gains(flat), begins) - sizes * base_room
+        inner = np.add.reduceat(held.inner(flat), begins)
+        symbols = held.symbols(flat).astype(SYMBOL)
+        absent = np.flatnonzero(flat < 0)
+        owner = np.searchsorted(begins, absent, side="right") - 1
+        rare: list[list[bytes]] = [[] for _ in texts]
+        for k, at in zip(owner.tolist(), (absent - begins[owner]).tolist(), strict=True):
+            rare[k].append(words[k][at])
+        return [(n, n - len(r), x, y, symbols[a : a + n].tobytes(), r) for n, r, x, y, a in zip(sizes.tolist(), rare, base.tolist(), inner.tolist(), begins.tolist(), strict=True)]
+
+    @F.pandas_udf(f"struct<{NUMBERED.replace(' ', ':').replace(',:', ',')}>")
+    def numbers(texts: pd.Series) -> pd.DataFrame:
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += _length(t)
+            if size > 8 * STRETCH:
+                out += number(held, shared.value)
+                held, size = [], 0
+        if held:
+            out += number(held, shared.value)
+        return pd.DataFrame(out, columns=[c.split()[0] for c in NUMBERED.split(", ")])
 
+    rows = docs.select(*columns, fold.cast("int").alias("_fold"), numbers(F.col(text)).alias("_s"))
+    return rows.select(*rows.columns[:-1], "_s.*")
 
-def training_pass(docs: DataFrame, vocab, model: Hmm, text: str = "text") -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected counts over all rows of ``docs``, added up over partitions."""
+
+def training_pass(rows: DataFrame, model: Hmm) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected counts over all rows of a table of ``NUMBERED`` rows, added up over partitions."""
     size = len(model.emit)
     chunks = -(-size // CHUNK)
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, hmm = shared.value
+        hmm = shared.value
         starts, steps, emits, seen = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((size, STATES)), False
-        for rows in batches:
-            for group in _sequences(rows[text], held):
-                a, b, c = expected_counts(hmm, [held.symbols(places) for places, _ in group])
+        for part in batches:
+            for _, sequences in _groups(part["symbols"]):
+                a, b, c = expected_counts(hmm, sequences)
                 starts += a
                 steps += b
                 emits += c
@@ -295,7 +352,7 @@ def training_pass(docs: DataFrame, vocab, model: Hmm, text: str = "text") -> tup
         total = sum(np.frombuffer(c) for c in rows["counts"])
         return pd.DataFrame({"part": rows["part"].iloc[:1], "counts": [total.tobytes()]})
 
-    sent = docs.select(text).mapInPandas(count, "part long, counts binary").withColumn("salt", F.spark_partition_id() % 16)
+    sent = rows.select("symbols").mapInPandas(count, "part long, counts binary").withColumn("salt", F.spark_partition_id() % 16)
     once = sent.groupBy("part", "salt").applyInPandas(add, "part long, counts binary")
     parts = {r["part"]: np.frombuffer(bytes(r["counts"])) for r in once.groupBy("part").applyInPandas(add, "part long, counts binary").collect()}
     shared.unpersist()
@@ -313,54 +370,52 @@ def maximised(vocab: Vocabulary, starts: np.ndarray, steps: np.ndarray, emits: n
     return Hmm(starts / starts.sum(), steps / steps.sum(1, keepdims=True), emits / emits.sum(0))
 
 
-def train(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> tuple[Hmm, Vocabulary, DataFrame]:
-    """The model, the shared counts and the table of all counts, learnt from every row of ``docs``."""
-    counts = keep(word_counts(docs, text), "word-counts")
-    vocab = vocabulary(counts)
+def train(rows: DataFrame, vocab: Vocabulary, folds: int = FOLDS) -> Hmm:
+    """The model, learnt from the rows of a ``numbered`` table whose fold is 0 to ``folds`` - 1."""
     model = first_guess(vocab)
     if vocab.total:
-        fold = F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(folds))
         for k in range(folds):
-            model = maximised(vocab, *training_pass(docs.where(fold == k), vocab, model, text))
-        model = maximised(vocab, *training_pass(docs, vocab, model, text))
-    return model, vocab, counts
-
-
-SCORED = "n_tokens long, known long, base double, model double, rare array<binary>"
-
-
-def scores(docs: DataFrame, model: Hmm, vocab: Vocabulary, counts: DataFrame, columns: list[Column], text: str = "text") -> DataFrame:
-    """``columns`` and n_tokens, n_known, base_score, score for every row of ``docs``."""
-    shared = docs.sparkSession.sparkContext.broadcast((vocab, model))
-    base_room = math.log10(vocab.total + vocab.types + 1)
-
-    @F.pandas_udf(f"struct<{SCORED.replace(' ', ':').replace(',:', ',')}>")
-    def scored(texts: pd.Series) -> pd.DataFrame:
-        held, hmm = shared.value
-        out = []
-        for group in _sequences(texts, held):
-            natural = forward(hmm, [held.symbols(places) for places, _ in group])[0]
-            for (places, words), likelihood in zip(group, natural, strict=True):
-                n, rare = len(places), np.flatnonzero(places < 0)
-                base = float(held.gains(places).sum()) - n * base_room
-                out.append((n, n - len(rare), base, likelihood / math.log(10) + float(held.inner(places).sum()), [words[k] for k in rare.tolist()]))
-        return pd.DataFrame(out, columns=["n_tokens", "known", "base", "model", "rare"])
-
-    rows = docs.select(*columns, scored(F.col(text)).alias("_s"))
-    names = rows.columns[:-1]
-    rows = keep(rows.select(*names, "_s.*").withColumn("_row", F.monotonically_increasing_id()), "scored")
-    rare = rows.select("_row", F.explode("rare").alias("token")).join(counts, "token").groupBy("_row").agg(F.count(F.lit(1)).alias("_seen"), F.sum(F.log10(F.col("n") + 1.0)).alias("_more"))
-    joined = rows.drop("rare").join(rare, "_row", "left")
+            model = maximised(vocab, *training_pass(rows.where(F.col("_fold") == k), model))
+        model = maximised(vocab, *training_pass(rows.where(F.col("_fold") >= 0), model))
+    return model
+
+
+def scores(rows: DataFrame, model: Hmm, counts: DataFrame, columns: list[str]) -> DataFrame:
+    """``columns`` and n_tokens, n_known, base_score, score for every row of a ``numbered`` table."""
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("double")
+    def likelihoods(symbols: pd.Series) -> pd.Series:
+        out = np.zeros(len(symbols))
+        for at, sequences in _groups(symbols):
+            out[at] = forward(shared.value, sequences)[0]
+        return pd.Series(out / math.log(10))
+
+    scored = rows.select(*columns, "n_tokens", "known", "base", "rare", (F.col("inner") + likelihoods("symbols")).alias("model"))
+    scored = keep(scored.withColumn("_row", F.monotonically_increasing_id()), "scored")
+    rare = scored.select("_row", F.explode("rare").alias("token")).join(counts, "token").groupBy("_row").agg(F.count(F.lit(1)).alias("_seen"), F.sum(F.log10(F.col("n") + 1.0)).alias("_more"))
+    joined = scored.drop("rare").join(rare, "_row", "left")
     more = F.coalesce("_more", F.lit(0.0))
     return joined.select(
-        *names, "n_tokens", (F.col("known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
+        *columns, "n_tokens", (F.col("known") + F.coalesce("_seen", F.lit(0))).alias("n_known"), (F.col("base") + more).alias("base_score"), (F.col("model") + more).alias("score")
     )
 
 
+def language_model(docs: DataFrame, learnt: Column, columns: list[Column], key: str = "doc_id", text: str = "text", folds: int = FOLDS) -> tuple[DataFrame, Hmm, Vocabulary]:
+    """``columns`` and n_tokens, n_known, base_score, score for every row of ``docs``, with the model learnt from the rows where ``learnt`` holds."""
+    counts = keep(word_counts(docs.where(learnt), text), "word-counts")
+    vocab = vocabulary(counts)
+    fold = F.when(learnt, F.pmod(F.xxhash64(F.lit("fold"), F.col(key)), F.lit(folds))).otherwise(-1)
+    table = numbered(docs, vocab, columns, fold, text)
+    names = table.columns[: len(columns)]
+    table = keep(table, "numbered", ("_fold",))
+    model = train(table, vocab, folds)
+    return scores(table, model, counts, names), model, vocab
+
+
 def op2_hmm(spark, sf_dir: str) -> DataFrame:
     """Base and model scores of every document; ids with crc32 mod 7 other than 2 are learnt from."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     held_out = remainder("doc_id", 7) == 2
-    model, vocab, counts = train(docs.where(~held_out))
-    out = scores(docs, model, vocab, counts, [F.col("doc_id"), held_out.alias("held_out")])
+    out, _, vocab = language_model(docs, ~held_out, [F.col("doc_id"), held_out.alias("held_out")])
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(vocab.total).cast("long").alias("train_tokens"), "base_score", "score")

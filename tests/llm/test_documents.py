@@ -145,28 +145,54 @@ def test_hmm_on_awkward_rows(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "SHARED", 6)
     monkeypatch.setattr(hmm, "SYMBOLS", 4)
     held = labelled.remainder("doc_id", 7) == 2
-    model, vocab, counts = hmm.train(docs.where(~held), folds=2)
+    scored, _, vocab = hmm.language_model(docs, ~held, [F.col("doc_id"), F.col("text")], folds=2)
     tokens = [hmm.tokens_of(t) + [hmm.END] for t in [*TEXTS, TEXTS[4]]]
     ids = [k if k != 3 else None for k in range(len(TEXTS))] + [4]
     train = Counter(w for i, t in zip(ids, tokens, strict=True) for w in t if i is None or zlib.crc32(str(i).encode()) % 7 != 2)
     assert vocab.total == sum(train.values()) and vocab.types == len(train)
-    got = hmm.scores(docs, model, vocab, counts, [F.col("doc_id"), F.col("text")]).collect()
+    got = scored.collect()
     assert len(got) == len(tokens)
     for r in got:
         words = hmm.tokens_of(r["text"]) + [hmm.END]
         assert r["n_tokens"] == len(words) and r["n_known"] == sum(train[w] > 0 for w in words)
         assert r["base_score"] == pytest.approx(sum(math.log10((train[w] + 1) / (vocab.total + vocab.types + 1)) for w in words), abs=1e-6)
         assert np.isfinite(r["score"]) and r["score"] < 0
-    nothing = hmm.train(docs.limit(0))
-    empty = hmm.scores(docs, *nothing, [F.col("doc_id")]).collect()
-    assert all(r["base_score"] == 0 and np.isfinite(r["score"]) for r in empty)
-    assert hmm.scores(docs.limit(0), model, vocab, counts, [F.col("doc_id")]).count() == 0
+    empty = hmm.language_model(docs, F.lit(False), [F.col("doc_id")])[0].collect()
+    assert len(empty) == len(tokens) and all(r["base_score"] == 0 and np.isfinite(r["score"]) for r in empty)
+    assert hmm.language_model(docs.limit(0), ~held, [F.col("doc_id")])[0].count() == 0
+
+
+def test_hmm_scores_equal_a_plain_recursion(spark, docs, monkeypatch):
+    """Texts through tables, numbers and groups, against the forward recursion written out for each text."""
+    monkeypatch.setattr(hmm, "SHARED", 60)
+    monkeypatch.setattr(hmm, "SYMBOLS", 40)
+    monkeypatch.setattr(hmm, "STRETCH", 200)
+    scored, model, vocab = hmm.language_model(docs, F.lit(True), [F.col("text")], folds=2)
+    counts = Counter(w for t in [*TEXTS, TEXTS[4]] for w in hmm.tokens_of(t) + [hmm.END])
+    own = set(vocab.words[: vocab.n_symbols])
+    place = {w: k for k, w in enumerate(vocab.words[: vocab.n_symbols])}
+    classes = {}
+    for w, n in counts.items():
+        if w not in own:
+            of = classes.setdefault(hmm.class_of(w), [0, 0])
+            of[0] += n
+            of[1] += 1
+    for r in scored.collect():
+        total, alpha = 0.0, None
+        for w in hmm.tokens_of(r["text"]) + [hmm.END]:
+            c = hmm.class_of(w)
+            emit = model.emit[place[w]] if w in own else model.emit[vocab.n_symbols + c] * (counts[w] + 1) / (sum(classes.get(c, (0, 0))) + 1)
+            alpha = (model.start if alpha is None else alpha @ model.step) * emit
+            total += math.log10(alpha.sum())
+            alpha = alpha / alpha.sum()
+        assert r["score"] == pytest.approx(total, rel=1e-9)
 
 
 def test_hmm_words_are_a_distribution(spark, docs, monkeypatch):
     monkeypatch.setattr(hmm, "SHARED", 6)
     monkeypatch.setattr(hmm, "SYMBOLS", 4)
-    model, vocab, counts = hmm.train(docs, folds=1)
+    _, model, vocab = hmm.language_model(docs, F.lit(True), [F.col("doc_id")], folds=1)
+    counts = hmm.word_counts(docs)
     assert np.allclose(model.emit.sum(0), 1) and np.allclose(model.step.sum(1), 1) and model.start.sum() == pytest.approx(1)
     mass = Counter()
     table = {bytes(r["token"]): r["n"] for r in counts.collect()}
