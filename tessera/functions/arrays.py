@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -11,6 +11,15 @@ def let(value: Column, f) -> Column:
     return F.get(F.transform(F.array(value), f), F.lit(0))
 
 
+def each(df: DataFrame, keys: list, values: Column, place: str, value: str) -> DataFrame:
+    """``keys, place, value``: a row for each entry of an array expression.
+
+    The outer form and a filter behind it: for the inner form Spark infers a filter on the
+    array's size, writes the whole expression into it, and so computes it twice or more.
+    """
+    return df.select(*keys, F.posexplode_outer(values).alias(place, value)).where(F.col(place).isNotNull())
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
 

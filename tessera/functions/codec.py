@@ -35,16 +35,21 @@ def encode(data: Column, h: Column, w: Column) -> Column:
     return F.when(F.size(data) != h * w, wrong.cast("string")).when(h * w == 0, header).otherwise(full)
 
 
-def problem(payload: Column) -> Column:
-    """Why a payload can't be decoded, or null."""
-    parts = F.split(payload, " ")
-    numbers = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("int"))
+def _parts(payload: Column, f) -> Column:
+    """``f(parts, numbers, body)`` of a payload, each of which is made once: its fields, those after the magic word as numbers, and those after the shape."""
+
+    def numbers(parts: Column) -> Column:
+        return F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: x.try_cast("int"))
+
+    return let(F.split(payload, " "), lambda parts: let(numbers(parts), lambda held: let(F.slice(held, 3, F.greatest(F.size(held) - 2, F.lit(0))), lambda body: f(parts, held, body))))
+
+
+def _problem(parts: Column, numbers: Column, body: Column) -> Column:
     h, w = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    body = F.slice(numbers, 3, F.greatest(F.size(numbers) - 2, F.lit(0)))
     values, runs = F.filter(body, lambda x, i: i % 2 == 0), F.filter(body, lambda x, i: i % 2 == 1)
     covered = F.aggregate(runs, F.lit(0).cast("long"), lambda a, x: a + x)
     return (
-        F.when(payload.isNull() | (F.size(parts) < 3), "short")
+        F.when(parts.isNull() | (F.size(parts) < 3), "short")
         .when(F.get(parts, F.lit(0)) != MAGIC, "magic")
         .when(h.isNull() | w.isNull() | (h < 0) | (w < 0), "shape")
         .when(F.size(body) % 2 == 1, "odd body")
@@ -55,6 +60,11 @@ def problem(payload: Column) -> Column:
     )
 
 
+def problem(payload: Column) -> Column:
+    """Why a payload can't be decoded, or null."""
+    return F.when(payload.isNull(), "short").otherwise(_parts(payload, _problem))
+
+
 def shape(payload: Column) -> tuple[Column, Column]:
     """Height and width from the header."""
     parts = F.split(payload, " ")
@@ -63,20 +73,23 @@ def shape(payload: Column) -> tuple[Column, Column]:
 
 def decode(payload: Column, on_error: str = "raise") -> Column:
     """The row-major array of a payload; a payload with a problem raises, or gives null with ``on_error="null"``."""
-    split = F.split(payload, " ")
 
-    def unrolled(numbers: Column) -> Column:
-        h, w, body = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1)), F.slice(numbers, 3, F.size(numbers) - 2)
-        runs = let(body, lambda b: F.flatten(F.transform(F.filter(b, lambda x, i: i % 2 == 0), lambda v, i: F.array_repeat(v, F.get(b, 2 * i + 1)))))
+    def unrolled(numbers: Column, body: Column) -> Column:
+        h, w = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        runs = F.flatten(F.transform(F.filter(body, lambda x, i: i % 2 == 0), lambda v, i: F.array_repeat(v, F.get(body, 2 * i + 1))))
         flat = F.when(F.size(body) == 0, F.array_repeat(F.lit(0), h * w)).otherwise(runs)
         across = let(flat, lambda f: F.transform(F.sequence(F.lit(0), h * w - 1), lambda p: F.get(f, (p % w) * h + F.floor(p / w).cast("int"))))
         return F.when(h * w > 0, across).otherwise(F.array().cast("array<int>"))
 
-    rows = let(F.transform(F.slice(split, 2, F.size(split) - 1), lambda x: x.try_cast("int")), unrolled)
-    why = problem(payload)
-    if on_error == "null":
-        return F.when(why.isNull(), rows)
-    return F.when(why.isNull(), rows).otherwise(F.raise_error(F.concat(F.lit("bad payload: "), F.coalesce(why, F.lit("")))).cast("array<int>"))
+    def rows(parts: Column, numbers: Column, body: Column) -> Column:
+        def or_else(why: Column) -> Column:
+            fine = F.when(why.isNull(), unrolled(numbers, body))
+            return fine if on_error == "null" else fine.otherwise(F.raise_error(F.concat(F.lit("bad payload: "), F.coalesce(why, F.lit("")))).cast("array<int>"))
+
+        return let(_problem(parts, numbers, body), or_else)
+
+    missing = F.lit(None).cast("array<int>") if on_error == "null" else F.raise_error(F.lit("bad payload: short")).cast("array<int>")
+    return F.when(payload.isNull(), missing).otherwise(_parts(payload, rows))
 
 
 def dequantise(values: Column) -> Column:

@@ -121,32 +121,36 @@ def laplacian(data: Column, h: Column, w: Column) -> Column:
 
 
 def numpy_stencil(kind: str, size: float):
-    """A vectorised function (data, h, w) -> data for ``gaussian`` (sigma), ``mean``, ``max`` or ``std`` (window size)."""
+    """A vectorised function (data, h, w) -> data for ``gaussian`` (sigma, unchanged for 0), ``mean``, ``max`` or ``std`` (window size), ``gradient`` or ``laplacian``."""
+    if kind == "gaussian":
+        offsets, weights = gaussian_weights(size) if size > 0 else ([0], [1.0])
+    else:
+        offsets = _window(int(size)) or [0]
+        weights = [1.0 / len(offsets)] * len(offsets)
 
-    def one(data: np.ndarray, h: int, w: int) -> np.ndarray:
-        m = np.asarray(data, dtype=float).reshape(h, w)
-        if kind == "gaussian":
-            offsets, weights = gaussian_weights(size)
-        else:
-            offsets = _window(int(size))
-            weights = [1.0 / len(offsets)] * len(offsets)
-
-        def along(x: np.ndarray, axis: int, combine) -> np.ndarray:
-            n = x.shape[axis]
-            places = [np.mod(np.arange(n) + o, 2 * n) for o in offsets]
-            return combine([np.take(x, np.where(p < n, p, 2 * n - 1 - p), axis) for p in places])
+    def along(x: np.ndarray, axis: int, offsets: list[int], combine) -> np.ndarray:
+        n = x.shape[axis]
+        places = [np.mod(np.arange(n) + o, 2 * n) for o in offsets]
+        return combine([np.take(x, np.where(p < n, p, 2 * n - 1 - p), axis) for p in places])
 
-        def weighted(parts):
-            return sum(k * p for k, p in zip(weights, parts, strict=True))
+    def summed(x: np.ndarray, axis: int, offsets: list[int], weights: list[float]) -> np.ndarray:
+        return along(x, axis, offsets, lambda parts: sum(k * p for k, p in zip(weights, parts, strict=True)))
 
-        def both(x, combine):
-            return along(along(x, 0, combine), 1, combine)
+    def smooth(x: np.ndarray) -> np.ndarray:
+        return summed(summed(x, 0, offsets, weights), 1, offsets, weights)
 
+    def one(data: np.ndarray, h: int, w: int) -> np.ndarray:
+        m = np.asarray(data, dtype=float).reshape(h, w)
         if kind == "max":
-            return both(m, np.maximum.reduce).ravel()
+            return along(along(m, 0, offsets, np.maximum.reduce), 1, offsets, np.maximum.reduce).ravel()
         if kind == "std":
-            return np.sqrt(np.maximum(both(m * m, weighted) - both(m, weighted) ** 2, 0)).ravel()
-        return both(m, weighted).ravel()
+            return np.sqrt(np.maximum(smooth(m * m) - smooth(m) ** 2, 0)).ravel()
+        if kind == "gradient":
+            slopes = [summed(summed(m, axis, [-1, 1], [-1.0, 1.0]), 1 - axis, [-1, 0, 1], [1.0, 2.0, 1.0]) for axis in (0, 1)]
+            return np.sqrt(slopes[0] ** 2 + slopes[1] ** 2).ravel()
+        if kind == "laplacian":
+            return sum(summed(m, axis, [-1, 0, 1], [1.0, -2.0, 1.0]) for axis in (0, 1)).ravel()
+        return smooth(m).ravel()
 
     @F.pandas_udf("array<double>")
     def stencil(data: pd.Series, h: pd.Series, w: pd.Series) -> pd.Series:

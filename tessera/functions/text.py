@@ -58,6 +58,7 @@ NORMAL_STATES = ("normal", "perfect", "flawless", "unblemished", "undamaged", "g
 ANOMALY_STATES = ("damaged", "defective", "broken", "flawed", "anomalous", "with a defect")
 PLACEHOLDERS = ("an anomaly is present", "localized visual anomaly affecting the object surface")
 
+# Fixed value: how file names say their view.
 VIEW_NAME = r"^(.+?)_view(\d+)\.[A-Za-z]+$"
 
 

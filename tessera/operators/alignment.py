@@ -2,25 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.raster import resize_nearest
 
 
-def align(methods: dict[str, DataFrame], on: str, value: str) -> DataFrame:
+def align(methods: dict[str, DataFrame], on: str, value: str, order: str | None = None) -> DataFrame:
     """``on`` and one column for each method, for the keys that every method has.
 
-    One union and one aggregation instead of a join for each method; of a method's
-    repeated keys the largest value stands.
+    One union and one aggregation instead of a join for each method. Of a method's repeated
+    keys the last by the column ``order`` stands, or the largest value without one: rows of
+    a table have no order of their own.
     """
     if not methods:
         raise ValueError("there is nothing to align")
     stacked = None
     for name, df in methods.items():
-        part = df.select(F.col(on), F.lit(name).alias("_method"), F.col(value).alias("_value"))
+        at = F.col(order) if order else F.lit(0)
+        part = df.select(F.col(on), F.lit(name).alias("_method"), F.col(value).alias("_value"), at.alias("_at"))
         stacked = part if stacked is None else stacked.unionByName(part)
-    picked = [F.max(F.when(F.col("_method") == name, F.col("_value"))).alias(name) for name in methods]
+
+    def one(name: str) -> Column:
+        own = F.when(F.col("_method") == name, F.col("_value"))
+        return F.max_by(own, F.when(F.col("_method") == name, F.col("_at"))) if order else F.max(own)
+
+    picked = [one(name).alias(name) for name in methods]
     held = [F.max(F.when(F.col("_method") == name, 1)).alias(f"_has{i}") for i, name in enumerate(methods)]
     out = stacked.where(F.col(on).isNotNull()).groupBy(on).agg(*picked, *held)
     every = F.lit(True)

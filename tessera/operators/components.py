@@ -68,16 +68,13 @@ def suppress_small_components(data: Column, h: Column, w: Column, min_size: int,
 
 
 def parse_sizes(spec: str, families: list[str], default: int = 6) -> dict[str, int]:
-    """Least sizes by family from ``"6"`` or ``"a=8,b=4"``; an empty text gives the default to all."""
-    spec = (spec or "").strip()
-    if not spec:
-        return dict.fromkeys(families, default)
-    if "=" not in spec:
-        return dict.fromkeys(families, int(spec))
-    out = dict.fromkeys(families, default)
-    for part in spec.split(","):
-        name, _, value = part.partition("=")
-        if name.strip() not in out:
-            raise ValueError(f"unknown family {name.strip()}; known: {families}")
-        out[name.strip()] = int(value)
-    return out
+    """Least sizes by family: ``"6"`` for all, or ``"a=8,b=4"`` with 0 (nothing goes) for those not named; an empty text gives the default to all."""
+    text = (spec or "").strip()
+    if "=" not in text:
+        if text and not text.lstrip("+-").isdigit():
+            raise ValueError(f"{spec!r} is neither a whole number nor family=size pairs")
+        return dict.fromkeys(families, int(text) if text else default)
+    pairs = {name.strip(): int(size) for name, _, size in (item.partition("=") for item in text.split(",") if item.strip())}
+    if pairs.keys() - set(families):
+        raise ValueError(f"unknown families {sorted(pairs.keys() - set(families))}; known: {families}")
+    return dict.fromkeys(families, 0) | pairs

@@ -2,7 +2,8 @@
 
 Families are functions that give named columns; a feature matrix is one ``select``, so
 its column list is its name list, and every feature of an image depends on that image
-alone (besides the rank normalisation that went before).
+alone (besides the rank normalisation that went before). Windowed features are made in
+Arrow batches, map by map; a map of 224 x 224 is 50,000 interpreted steps otherwise.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from tessera.functions import raster as R
 AGGREGATES = {"imgmax": F.array_max, "imgp99": lambda d: A.percentile(d, 0.99), "imgmean": A.mean, "imgstd": A.deviation}
 
 
+# The options, their order and their defaults are the contract of feature sets.
 @dataclass(frozen=True)
 class FeatureConfig:
     raw_score: bool = True
@@ -61,15 +63,10 @@ def per_method(config: FeatureConfig, i: int, data: Column, h: Column, w: Column
         out.append((f"m{i}_raw", data))
     if config.per_image_rank:
         out.append((f"m{i}_rank", image_rank(data)))
-    out += [(f"m{i}_g{s:g}", R.gaussian(data, h, w, s)) for s in config.gaussian_sigmas]
-    for size in config.window_sizes:
-        for wanted, name, f in ((config.window_mean, "mean", R.window_mean), (config.window_max, "max", R.window_max), (config.window_std, "std", R.window_std)):
-            if wanted:
-                out.append((f"m{i}_{name}{size}", f(data, h, w, size)))
-    if config.gradient:
-        out.append((f"m{i}_grad", R.gradient(data, h, w)))
-    if config.laplacian:
-        out.append((f"m{i}_lap", R.laplacian(data, h, w)))
+    out += [(f"m{i}_g{s:g}", R.numpy_stencil("gaussian", s)(data, h, w)) for s in config.gaussian_sigmas]
+    wanted = [name for name, on in (("mean", config.window_mean), ("max", config.window_max), ("std", config.window_std)) if on]
+    out += [(f"m{i}_{name}{size}", R.numpy_stencil(name, size)(data, h, w)) for size in config.window_sizes for name in wanted]
+    out += [(f"m{i}_{short}", R.numpy_stencil(kind, 0)(data, h, w)) for short, kind, on in (("grad", "gradient", config.gradient), ("lap", "laplacian", config.laplacian)) if on]
     for name in config.image_aggregates:
         value = AGGREGATES[name](data)
         out.append((f"m{i}_{name}", F.array_repeat(value, h * w)))
@@ -131,7 +128,7 @@ def featurize(images: DataFrame, methods: list[str], classes: list, config: Feat
     if prior is not None:
         arrays["_prior"] = F.col(prior)
     dense = images.select(*keys, "h", "w", "cls", "view", F.arrays_zip(*[c.alias(n) for n, c in arrays.items()]).alias("_pixels"))
-    long = dense.select(*keys, "h", "w", "cls", "view", F.posexplode("_pixels").alias("_p", "_x"))
+    long = A.each(dense, [*keys, "h", "w", "cls", "view"], F.col("_pixels"), "_p", "_x")
     r, c = F.floor(F.col("_p") / w).cast("int"), F.col("_p") % w
     at = F.array(*[F.col(f"_x._method{i}") for i in range(len(methods))])
     columns = [F.col(f"_x._{name}").alias(name) for name, _ in planes]

@@ -41,7 +41,7 @@ def fuse(df: DataFrame, methods: str, n: int, rule: str, order: list[str], weigh
     if rule != "rank_mean":
         return df.withColumn("fused", fused(F.col(methods), n, rule, weights))
     long = df.select(*order, F.posexplode(methods).alias("_method", "_score"))
-    ranked = rank_normalise(long.withColumn("_all", F.lit(0)), "_score", order, "per_class", method="_method", cls="_all")
+    ranked = rank_normalise(long, "_score", order, "global", method="_method")
     share = F.array(*[F.lit(w) for w in shares(weights, n, rule)])
     mean = ranked.groupBy(*order).agg(F.sum(F.col("rank") * F.get(share, F.col("_method"))).alias("fused"))
     return df.join(mean, order)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators.ordering import running_totals
+from tessera.operators.ordering import beside, running_totals
 
 
 def average_precision(df: DataFrame, score: str, label: str, by: tuple[str, ...] = ()) -> DataFrame:
@@ -50,18 +50,25 @@ def term_statistics(df: DataFrame, terms: list[str], by: tuple[str, ...] = ()) -
 
 
 def hard_mean(df: DataFrame, value: str, share: float, key: str) -> DataFrame:
-    """The mean of the largest ``max(int(share * n), 1)`` values."""
-    n = df.where(F.col(value).isNotNull()).count()
+    """The mean of the largest ``max(int(share * n), 1)`` values; equal values are counted first, so ``key`` never decides."""
+    tied = df.where(F.col(value).isNotNull()).groupBy(F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    n = tied.agg(F.coalesce(F.sum("_c"), F.lit(0))).first()[0]
     k = max(int(share * n), 1)
-    return df.where(F.col(value).isNotNull()).orderBy(F.col(value).desc(), key).limit(k).agg(F.count(F.lit(1)).alias("k"), F.avg(value).alias("hard_mean"))
+    summed = running_totals(tied, (), [F.col("_v")], {"_upto": "_c"}, descending=True)
+    taken = F.least(F.col("_c"), F.greatest(F.lit(0), k - (F.col("_upto") - F.col("_c"))))
+    return summed.select("_v", taken.alias("_t")).where("_t > 0").agg(F.coalesce(F.sum("_t"), F.lit(0)).alias("k"), (F.sum(F.col("_v") * F.col("_t")) / F.sum("_t")).alias("hard_mean"))
 
 
 def order_statistic(df: DataFrame, value: str, pct: float, by: tuple[str, ...], key: str) -> DataFrame:
-    """For each group, the value at place n - k in ascending order, k = clamp(round(n (100 - pct) / 100), 1, n - 1); no interpolation."""
-    sized = df.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*by)))
+    """For each group, the value at place n - k in ascending order, k = clamp(round(n (100 - pct) / 100), 1, n - 1); no interpolation.
+
+    Nulls stand first. Equal values are counted first, so ``key`` never decides.
+    """
+    tied = df.groupBy(*by, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    placed = beside(running_totals(tied, by, [F.col("_v")], {"_upto": "_c"}), df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")), by)
     k = F.greatest(F.lit(1), F.least(F.rint(F.col("_n") * (100.0 - pct) / 100.0).cast("long"), F.col("_n") - 1))
-    ranked = sized.withColumn("_at", F.row_number().over(Window.partitionBy(*by).orderBy(value, key)) - 1)
-    return ranked.where(F.col("_at") == F.greatest(F.lit(0), F.col("_n") - k)).select(*by, F.col(value).alias("picked"))
+    at = F.greatest(F.lit(0), F.col("_n") - k)
+    return placed.where((F.col("_upto") - F.col("_c") <= at) & (at < F.col("_upto"))).select(*by, F.col("_v").alias("picked"))
 
 
 def top_k(df: DataFrame, value: str, k: int, by: tuple[str, ...], key: str) -> DataFrame:

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import arrays as A
 from tessera.functions import codec
 from tessera.functions.raster import gaussian, resize_bilinear
+from tessera.operators.ordering import running_totals
+
+#: The side of the zero heat map of a class without a prior.
+NO_PRIOR = 128
 
 
 def spatial_priors(masks: DataFrame, sigma: float = 3.0, cls: str = "cls") -> DataFrame:
@@ -24,6 +29,40 @@ def spatial_priors(masks: DataFrame, sigma: float = 3.0, cls: str = "cls") -> Da
     return smooth.select(cls, "h", "w", "coverage", scaled.alias("heat"))
 
 
+def write_priors(priors: DataFrame, path: str) -> None:
+    """Write what ``spatial_priors`` gives, with each class's centre bias, as Parquet."""
+    bias = centre_bias(F.col("heat"), F.col("h"), F.col("w"))
+    priors.withColumn("centre_bias", bias).write.mode("overwrite").parquet(path)
+
+
+def load_priors(spark: SparkSession, path: str | None, classes: list, cls: str = "cls") -> DataFrame:
+    """``cls, h, w, heat`` for every one of ``classes``, clipped to [0, 1].
+
+    A class that the table lacks, or all of them where there is no table, has a zero heat
+    map, so that a feature made from it is there and does nothing.
+    """
+    wanted = spark.createDataFrame([(c,) for c in classes], f"{cls} {'string' if any(isinstance(c, str) for c in classes) else 'long'}")
+    zero = F.array_repeat(F.lit(0.0), NO_PRIOR * NO_PRIOR)
+    try:
+        held = spark.read.parquet(path) if path else None
+    except AnalysisException:  # no such folder
+        held = None
+    if held is None:
+        return wanted.select(cls, F.lit(NO_PRIOR).alias("h"), F.lit(NO_PRIOR).alias("w"), zero.alias("heat"))
+    joined = wanted.join(held.select(cls, "h", "w", "heat"), cls, "left")
+    clipped = F.transform("heat", lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x)))
+    return joined.select(cls, F.coalesce("h", F.lit(NO_PRIOR)).alias("h"), F.coalesce("w", F.lit(NO_PRIOR)).alias("w"), F.coalesce(clipped, zero).alias("heat"))
+
+
+def write_view_stats(stats: DataFrame, path: str) -> None:
+    """Write ``view, lo, hi`` (as ``ordering.calibration`` by view gives them) as Parquet."""
+    stats.select("view", F.col("lo").cast("double").alias("lo"), F.col("hi").cast("double").alias("hi")).write.mode("overwrite").parquet(path)
+
+
+def load_view_stats(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.parquet(path).select("view", "lo", "hi")
+
+
 def centre_bias(heat: Column, h: Column, w: Column) -> Column:
     """The share of a heat map's mass in its middle half; 0 without mass."""
 
@@ -50,8 +89,10 @@ def apply_prior(data: Column, prior: Column, weight: float = 0.5) -> Column:
 def every_nth(rows: DataFrame, n: int, order: str) -> DataFrame:
     """A systematic sample: every (count / n)-th row in order, ``n`` at most."""
     step = max(1, rows.count() // n)
-    placed = rows.withColumn("_at", F.row_number().over(Window.orderBy(order)) - 1) if step > 1 else rows.withColumn("_at", F.lit(0))
-    return placed.where(F.col("_at") % step == 0).drop("_at").orderBy(order).limit(n)
+    if step > 1:
+        placed = running_totals(rows.withColumn("_one", F.lit(1)), (), [F.col(order)], {"_nth": "_one"})
+        rows = placed.where((F.col("_nth") - 1) % step == 0).drop("_one", "_nth")
+    return rows.orderBy(order).limit(n)
 
 
 def check_submission(rows: DataFrame, classes: DataFrame | None = None, sample: int = 400) -> DataFrame:

@@ -67,6 +67,76 @@ def text_embedding(df: DataFrame, vector: str, by: str) -> DataFrame:
     return rows.select(by, A.unit(F.col("_v")).alias("embedding"))
 
 
+def anomalous_channel(logits: Column) -> Column:
+    """The share of the second of two channels in their softmax."""
+    return 1 / (1 + F.exp(F.get(logits, F.lit(0)) - F.get(logits, F.lit(1))))
+
+
+def sigmoid(logit: Column) -> Column:
+    return 1 / (1 + F.exp(-logit))
+
+
+def level_mean(logits: Column) -> Column:
+    """The mean of the sigmoids over an array of levels (of transparency)."""
+    return A.mean(F.transform(logits, sigmoid))
+
+
+def image_windows(grid: np.ndarray, size: int) -> np.ndarray:
+    """Means of all whole windows of ``size`` x ``size`` cells of a grid of vectors, at length one: (h', w', d)."""
+    sums = np.zeros((grid.shape[0] + 1, grid.shape[1] + 1, grid.shape[2]))
+    sums[1:, 1:] = grid.cumsum(0).cumsum(1)
+    means = (sums[size:, size:] - sums[:-size, size:] - sums[size:, :-size] + sums[:-size, :-size]) / size**2
+    return means / np.maximum(np.linalg.norm(means, axis=2, keepdims=True), 1e-12)
+
+
+def stretch(n: int, to: int) -> np.ndarray:
+    """The matrix that brings ``n`` values to ``to`` bilinearly, with half-pixel centres."""
+    at = np.clip((np.arange(to) + 0.5) * n / to - 0.5, 0, n - 1)
+    low = np.floor(at).astype(int)
+    out = np.zeros((to, n))
+    out[np.arange(to), low] += 1 - (at - low)
+    out[np.arange(to), np.minimum(low + 1, n - 1)] += at - low
+    return out
+
+
+def window_scores(grid: np.ndarray, sizes: tuple[int, ...], normal: np.ndarray, anomalous: np.ndarray, references: dict[int, np.ndarray], alpha: float = 0.5, temperature: float = 100.0) -> np.ndarray:
+    """A grid of scores from windows of several sizes: the anomalous share against two text vectors, mixed with the distance to the nearest reference window.
+
+    ``references`` has a matrix of normal windows for each size; a size without one goes by
+    the texts alone. Each size's scores are brought to the grid bilinearly and averaged;
+    a window that is larger than the grid is left out.
+    """
+    total, used = np.zeros(grid.shape[:2]), 0
+    for size in sizes:
+        if size > min(grid.shape[:2]):
+            continue
+        windows = image_windows(grid, size)
+        score = 1 / (1 + np.exp(np.clip(temperature * (windows @ normal - windows @ anomalous), -700, 700)))
+        if references.get(size) is not None and len(references[size]):
+            nearest = np.concatenate([(part @ references[size].T).max(1) for part in np.array_split(windows.reshape(-1, windows.shape[2]), max(1, windows[..., 0].size // 4096))])
+            score = alpha * score + (1 - alpha) * (1 - nearest.reshape(score.shape))
+        total += stretch(score.shape[0], grid.shape[0]) @ score @ stretch(score.shape[1], grid.shape[1]).T
+        used += 1
+    return total / max(used, 1)
+
+
+def ssim_loss(x: np.ndarray, y: np.ndarray, window: int = 11, sigma: float = 1.5) -> float:
+    """1 - mean structural similarity of two maps in [0, 1], under a Gaussian window with zeros beyond the border."""
+    offsets = np.arange(window) - window // 2
+    weights = np.exp(-(offsets**2) / (2 * sigma * sigma))
+    weights /= weights.sum()
+
+    def blur(m: np.ndarray) -> np.ndarray:
+        for axis in (0, 1):
+            m = np.apply_along_axis(np.convolve, axis, np.pad(m, [(window // 2,) * 2 if a == axis else (0, 0) for a in (0, 1)]), weights, "valid")
+        return m
+
+    mx, my = blur(x), blur(y)
+    vx, vy = (np.maximum(blur(a * a) - m * m, 1e-8) for a, m in ((x, mx), (y, my)))
+    both = blur(x * y) - mx * my
+    return float(1 - np.mean((2 * mx * my + 1e-4) * (2 * both + 9e-4) / np.maximum((mx * mx + my * my + 1e-4) * (vx + vy + 9e-4), 1e-8)))
+
+
 def contrastive_loss(distances: Column, k_attract: int = 3, k_repel: int = 3, radius_sq: float = 1e-5, alpha: float = 1e-3) -> Column:
     """Attraction of the nearest squared distances into the radius, repulsion of the next beyond it."""
     ordered = F.sort_array(distances)

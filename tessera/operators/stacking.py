@@ -12,6 +12,8 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.ordering import running_totals
+
 MODES = {"loao": "anomaly_type", "sample": "sample_id"}
 
 
@@ -20,9 +22,9 @@ def folds(df: DataFrame, mode: str, columns: dict[str, str] | None = None) -> Da
     column = (MODES | (columns or {})).get(mode)
     if mode not in MODES or column is None:
         raise ValueError(f"unknown mode {mode}; known: {sorted(MODES)}")
-    named = df.select(F.col(column).cast("string").alias("_b")).distinct().orderBy("_b")
-    numbers = named.withColumn("fold", (F.row_number().over(Window.orderBy("_b")) - 1).cast("int"))  # one row for each bucket
-    return df.withColumn("_b", F.col(column).cast("string")).join(F.broadcast(numbers), "_b").drop("_b")
+    named = df.select(F.col(column).cast("string").alias("_b")).where("_b is not null").distinct().withColumn("_one", F.lit(1))
+    numbers = running_totals(named, (), [F.col("_b")], {"_nth": "_one"}).select("_b", (F.col("_nth") - 1).cast("int").alias("fold"))
+    return df.withColumn("_b", F.col(column).cast("string")).join(numbers, "_b").drop("_b")
 
 
 def hashed(key: str) -> Column:
@@ -212,4 +214,4 @@ def fit_calibrator(df: DataFrame, method: str, label: str = "label", prediction:
     if method == "isotonic":
         return Calibrator(method, IsotonicRegression(featuresCol="_x", labelCol="_y", predictionCol="_iso").fit(rows))
     vectors = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(rows)
-    return Calibrator(method, LogisticRegression(featuresCol="_v", labelCol="_y", standardization=False).fit(vectors))
+    return Calibrator(method, LogisticRegression(featuresCol="_v", labelCol="_y", tol=1e-12, maxIter=500).fit(vectors))

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.text import FALLBACK_FAMILIES
+
 
 def row_generator(key, seed: int = 0) -> np.random.Generator:
     return np.random.default_rng([seed, zlib.crc32(str(key).encode())])
@@ -55,24 +57,88 @@ def fractal(h: int, w: int, cells: int, octaves: int, rng: np.random.Generator,
     return sum(persistence**k * perlin(h, w, cells * 2**k, cells * 2**k, rng) for k in range(octaves))
 
 
+#: Octaves of each of the two scales of a noise mask.
+OCTAVES = 3
+
+
 def perlin_mask(h: int, w: int, rng: np.random.Generator) -> np.ndarray:
-    """A 0/1 mask: two scales of noise above their 60th to 85th percentile, turned a quarter half of the time."""
-    coarse, fine = (perlin(h, w, *(2 ** rng.integers(a, b, 2)), rng) for a, b in ((1, 3), (2, 4)))
-    share = rng.uniform(0.3, 0.7)
-    noise = share * coarse + (1 - share) * fine
+    """A 0/1 mask: a coarse and a fine scale of fractal noise in equal parts, above their 60th to 85th percentile, turned by quarters half of the time."""
+    noise = sum(fractal(h, w, int(rng.choice(cells)), OCTAVES, rng) for cells in ((2, 4, 8), (8, 16))) / 2
     mask = (noise > np.percentile(noise, rng.uniform(60, 85))).astype(np.int8)
-    return np.rot90(mask).copy() if h == w and rng.random() < 0.5 else mask
+    return np.rot90(mask, int(rng.integers(1, 4))).copy() if h == w and rng.random() < 0.5 else mask
+
+
+def _cubic(n: int, to: int) -> np.ndarray:
+    """The matrix that brings ``n`` values to ``to`` by cubic convolution, the outer values on the outer places."""
+    at = np.linspace(0, n - 1, to)
+    low = np.floor(at).astype(int)
+    out = np.zeros((to, n))
+    for tap in range(-1, 3):
+        d = np.abs(at - (low + tap))
+        near, far = 1.25 * d**3 - 2.25 * d**2 + 1, -0.75 * (d**3 - 5 * d**2 + 8 * d - 4)
+        np.add.at(out, (np.arange(to), np.clip(low + tap, 0, n - 1)), np.where(d <= 1, near, np.where(d < 2, far, 0)))
+    return out
+
+
+def lattice_noise(batch: int, h: int, w: int, rng: np.random.Generator, octaves: int = 4) -> np.ndarray:
+    """``batch`` noise maps at once: random lattices of 2, 4, 8, ... cells, brought to size and added up with halving weight."""
+    total = np.zeros((batch, h, w))
+    for k in range(octaves):
+        cells = 2 ** (k + 1)
+        lattice = rng.random((batch, cells + 1, cells + 1)) * 2 - 1
+        total += 0.5**k * (_cubic(cells + 1, h) @ lattice @ _cubic(cells + 1, w).T)
+    return total
+
+
+def texture(h: int, w: int, rng: np.random.Generator, channels: int | None = None) -> np.ndarray:
+    """A flat tone or a gradient of two tones, with a little noise; with ``channels`` a colour each and a last axis."""
+    tones = rng.random((2, channels or 1))
+    ramp = np.zeros((h, w))
+    if rng.random() < 0.5:
+        ramp[:] = np.linspace(0, 1, w) if rng.random() < 0.5 else np.linspace(0, 1, h)[:, None]
+    out = tones[0] * (1 - ramp[..., None]) + tones[1] * ramp[..., None]
+    out = np.clip(out + rng.normal(0, 0.03, out.shape), 0, 1)
+    return out if channels else out[..., 0]
 
 
-def texture(h: int, w: int, rng: np.random.Generator) -> np.ndarray:
-    """A flat tone or a gradient of two tones, with a little noise."""
-    if rng.random() < 0.5:
-        base = np.full((h, w), rng.random())
-    else:
-        a, b = rng.random(2)
-        along = np.linspace(a, b, w)[None, :].repeat(h, 0) if rng.random() < 0.5 else np.linspace(a, b, h)[:, None].repeat(w, 1)
-        base = along
-    return np.clip(base + rng.normal(0, 0.03, (h, w)), 0, 1)
+def blobs(h: int, w: int, rng: np.random.Generator, count: tuple[int, int] = (1, 3)) -> np.ndarray:
+    """A 0/1 mask of one to three upright ellipses anywhere, 3 to 15 per cent of the sides in radius."""
+    rr, cc = np.mgrid[0:h, 0:w]
+    mask = np.zeros((h, w), dtype=np.int8)
+    for _ in range(int(rng.integers(count[0], count[1] + 1))):
+        cy, cx, ry, rx = rng.integers(0, h), rng.integers(0, w), h * rng.uniform(0.03, 0.15), w * rng.uniform(0.03, 0.15)
+        mask |= (((rr - cy) / ry) ** 2 + ((cc - cx) / rx) ** 2 <= 1).astype(np.int8)
+    return mask
+
+
+def other_classes(images: DataFrame, cls, n: int = 256, seed: int = 0, key: str = "image_id") -> DataFrame:
+    """At most ``n`` normal training images of all classes but ``cls``, drawn by hash: the pool that foreign textures come from."""
+    pool = images.where((F.col("cls") != F.lit(cls)) & (F.col("split") == "train_good"))
+    return pool.orderBy(F.xxhash64(F.lit(seed), F.col(key)), key).limit(n)
+
+
+class TexturePool:
+    """Images of one size to draw textures from; an empty pool gives noise."""
+
+    def __init__(self, pool: DataFrame, h: int, w: int, data: str = "data"):
+        rows = pool.select("h", "w", data).collect()  # bounded by ``other_classes``
+        self.shape = h, w
+        self.images = [_fit(np.asarray(r[data], dtype=float).reshape(r["h"], r["w"], -1), h, w) for r in rows]
+
+    def sample(self, rng: np.random.Generator) -> np.ndarray:
+        """A pool image with its channels 0.7 to 1.3 times as bright, mirrored and turned upside down at random: (h, w, channels)."""
+        if not self.images:
+            return rng.random((*self.shape, 1))
+        image = self.images[int(rng.integers(len(self.images)))]
+        image = np.clip(image * rng.uniform(0.7, 1.3, image.shape[2]), 0, 1)
+        image = image[:, ::-1] if rng.random() < 0.5 else image
+        return image[::-1] if rng.random() < 0.5 else image
+
+
+def _fit(image: np.ndarray, h: int, w: int) -> np.ndarray:
+    from tessera.operators.scoring import stretch
+
+    return np.einsum("yr,rck,xc->yxk", stretch(image.shape[0], h), image, stretch(image.shape[1], w))
 
 
 def corruption(image: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +249,7 @@ def inject(image: np.ndarray, families: list[str], rng: np.random.Generator, cou
     return out, union
 
 
-def defect_families(known: list[str] | None, fallback=("scratch", "stain", "dent", "fragment", "bulge")) -> list[str]:
+def defect_families(known: list[str] | None, fallback: tuple[str, ...] = FALLBACK_FAMILIES) -> list[str]:
     """The families to draw from: the known ones that have a shape, all of them if none has, the fallback without any."""
     if not known:
         return list(fallback)

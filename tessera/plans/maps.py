@@ -20,9 +20,12 @@ PX = """px AS (
   SELECT vec_id AS image_id, label AS cls, vec_id % 5 AS view, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(i AS INTEGER) AS p,
          CAST(embedding[i + 1] AS DOUBLE) AS v
   FROM embeddings, range(64) t(i))"""
-ME = """me AS (
-  SELECT a.image_id, a.cls, a.view, a.r, a.c, a.p, a.v AS m0, abs(a.v) AS m1, b.v AS m2
-  FROM px a JOIN px b ON b.p = a.p AND b.image_id = (a.image_id + 1) % (SELECT count(*) FROM embeddings))"""
+ME = """next_of AS MATERIALIZED (SELECT vec_id AS id, label, embedding AS e, (vec_id + 1) % (SELECT count(*) FROM embeddings) AS following FROM embeddings),
+  both_of AS MATERIALIZED (SELECT a.id, a.label, a.e, b.e AS f FROM next_of a JOIN next_of b ON b.id = a.following),
+  me AS MATERIALIZED (
+  SELECT id AS image_id, label AS cls, id % 5 AS view, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST(i AS INTEGER) AS p,
+         CAST(e[i + 1] AS DOUBLE) AS m0, abs(CAST(e[i + 1] AS DOUBLE)) AS m1, CAST(f[i + 1] AS DOUBLE) AS m2
+  FROM both_of, range(64) t(i))"""
 
 
 def maps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -40,7 +43,7 @@ def methods(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pixels(df: DataFrame, data: Column, *keys: str, width: int = 8, digits: int = 6) -> DataFrame:
     """``keys, r, c, v`` of a map expression."""
-    long = df.select(*keys, F.posexplode(data).alias("_p", "_v"))
+    long = A.each(df, list(keys), data, "_p", "_v")
     value = F.round("_v", digits) if digits else F.col("_v")
     return long.select(*keys, F.floor(F.col("_p") / width).cast("int").alias("r"), (F.col("_p") % width).alias("c"), value.alias("v"))
 
@@ -103,7 +106,7 @@ def _tta(mode: str):
 
 def q_cross_method(spark, d):
     held = features.FeatureConfig()
-    long = methods(spark, d).select("image_id", F.posexplode(F.arrays_zip("m0", "m1", "m2")).alias("_p", "_x"))
+    long = A.each(methods(spark, d), ["image_id"], F.arrays_zip("m0", "m1", "m2"), "_p", "_x")
     at = F.array("_x.m0", "_x.m1", "_x.m2")
     columns = [F.round(x, 5).alias(n) for n, x in features.cross_method(held, at, 3) if n in ("x_mean", "x_max", "x_min", "x_std", "x_range")]
     return long.select("image_id", F.col("_p").alias("p"), *columns)
@@ -112,12 +115,12 @@ def q_cross_method(spark, d):
 def q_consensus(spark, d):
     """Consensus counts over per-image ranks, so that the bounds of 0.99 and 0.95 mean something."""
     held = features.FeatureConfig(cross_stats=False, cross_cv=False, min_top_k=0)
-    ranked = methods(spark, d).select("image_id", F.posexplode(F.arrays_zip(*[features.image_rank(F.col(m)).alias(m) for m in ("m0", "m1", "m2")])).alias("_p", "_x"))
+    ranked = A.each(methods(spark, d), ["image_id"], F.arrays_zip(*[features.image_rank(F.col(m)).alias(m) for m in ("m0", "m1", "m2")]), "_p", "_x")
     return ranked.select("image_id", F.col("_p").alias("p"), *[x.cast("long").alias(n) for n, x in features.cross_method(held, F.array("_x.m0", "_x.m1", "_x.m2"), 3)])
 
 
 def q_min_top_k(spark, d):
-    long = methods(spark, d).select("image_id", F.posexplode(F.arrays_zip("m0", "m1", "m2")).alias("_p", "_x"))
+    long = A.each(methods(spark, d), ["image_id"], F.arrays_zip("m0", "m1", "m2"), "_p", "_x")
     at = F.array("_x.m0", "_x.m1", "_x.m2")
     return long.select("image_id", F.col("_p").alias("p"), A.largest(at, 3).alias("xc_min_top3"), A.largest(at, 2).alias("xc_min_top2"), F.round(A.deviation(at) / (A.mean(at) + 1e-6), 4).alias("xc_cv")).where(F.abs(A.mean(F.array("xc_min_top3", "xc_min_top2"))) > 0.01)
 
@@ -212,7 +215,7 @@ _COMPONENTS_SQL = f"""WITH RECURSIVE {PX}, bound AS (SELECT image_id, quantile_c
 
 def _fuse(rule: str, weights=None):
     def run(spark, d):
-        df = methods(spark, d).select("image_id", F.posexplode(F.arrays_zip("m0", "m1", "m2")).alias("p", "_x")).select("image_id", "p", F.array("_x.m0", "_x.m1", "_x.m2").alias("m"))
+        df = A.each(methods(spark, d), ["image_id"], F.arrays_zip("m0", "m1", "m2"), "p", "_x").select("image_id", "p", F.array("_x.m0", "_x.m1", "_x.m2").alias("m"))
         out = fusion.fuse(df, "m", 3, rule, ["image_id", "p"], weights)
         return out.select("image_id", "p", F.round("fused", 5).alias("fused"))
 
@@ -244,9 +247,10 @@ def q_sanitise(spark, d):
 
 
 def q_spatial(spark, d):
-    long = pixels(maps(spark, d).limit(1), F.col("data"), "image_id", digits=0)
+    """The coordinates of every pixel of every map."""
+    long = pixels(maps(spark, d), F.col("data"), "image_id", digits=0)
     config = features.FeatureConfig()
-    return long.select("r", "c", *[F.round(x, 6).alias(n) for n, x in features.spatial(config, F.col("r"), F.col("c"), F.lit(8), F.lit(8))])
+    return long.select("image_id", "r", "c", *[F.round(x, 6).alias(n) for n, x in features.spatial(config, F.col("r"), F.col("c"), F.lit(8), F.lit(8))])
 
 
 def q_one_hot(spark, d):
@@ -260,7 +264,7 @@ def q_image_aggregates(spark, d):
 
 def q_patchify(spark, d):
     layers = [F.col("data"), F.transform("data", lambda x: F.abs(x))]
-    long = maps(spark, d).select("image_id", F.posexplode(R.patchify(layers, F.lit(8), F.lit(8))).alias("p", "_u"))
+    long = A.each(maps(spark, d), ["image_id"], R.patchify(layers, F.lit(8), F.lit(8)), "p", "_u")
     return long.select("image_id", "p", F.round(F.get("_u", F.lit(0)), 5).alias("u0"), F.round(F.get("_u", F.lit(1)), 5).alias("u1"))
 
 
@@ -280,8 +284,9 @@ def q_corrupt_blend(spark, d):
 
 
 def q_ellipse(spark, d):
-    grid = maps(spark, d).limit(1).select(F.posexplode("data").alias("p", "_x")).select(F.floor(F.col("p") / 8).cast("int").alias("r"), (F.col("p") % 8).alias("c"))
-    return grid.select("r", "c", synthesis.ellipse(F.col("r"), F.col("c"), 3.2, 3.7, 2.6, 3.1).cast("int").alias("inside"))
+    """One ellipse on the grid of every map."""
+    grid = pixels(maps(spark, d), F.col("data"), "image_id", digits=0)
+    return grid.select("image_id", "r", "c", synthesis.ellipse(F.col("r"), F.col("c"), 3.2, 3.7, 2.6, 3.1).cast("int").alias("inside"))
 
 
 def q_synthesise(spark, d):
@@ -401,12 +406,12 @@ ORACLE_SQL = {
     "view_norm_fit": f"WITH {PX}, b AS (SELECT view, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.995) AS hi FROM px GROUP BY view) SELECT view, round(lo, 6) AS lo, round(CASE WHEN hi > lo THEN hi ELSE lo + 1e-6 END, 6) AS hi FROM b",
     "view_norm_apply": f"WITH {PX}, b AS (SELECT view, quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.995) AS hi FROM px WHERE view < 4 GROUP BY view), i AS (SELECT p.image_id, p.r, p.c, p.v, coalesce(b.lo, min(v) OVER (PARTITION BY image_id)) AS lo, coalesce(b.hi, max(v) OVER (PARTITION BY image_id)) AS hi FROM px p LEFT JOIN b USING (view)) SELECT image_id, r, c, round((v - lo) / greatest(hi - lo, 1e-9), 5) AS normalised FROM i",
     "sanitise_nonfinite": f"WITH {PX}, f AS (SELECT *, min({_FIN}) OVER (PARTITION BY image_id) AS lo, max({_FIN}) OVER (PARTITION BY image_id) AS hi FROM px) SELECT image_id, r, c, round(CASE WHEN lo IS NULL THEN 0 WHEN image_id % 50 = 7 OR p % 16 IN (3, 9) THEN lo WHEN p % 16 = 5 THEN hi ELSE v END, 6) AS v FROM f",
-    "spatial_coords": "SELECT CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, round((i % 8) / 7.0::DOUBLE, 6) AS s_x, round((i // 8) / 7.0::DOUBLE, 6) AS s_y, round(sqrt(((i % 8) / 7.0::DOUBLE - 0.5) ** 2 + ((i // 8) / 7.0::DOUBLE - 0.5) ** 2), 6) AS s_dist_center, round(least((i % 8) / 7.0::DOUBLE, 1 - (i % 8) / 7.0::DOUBLE, (i // 8) / 7.0::DOUBLE, 1 - (i // 8) / 7.0::DOUBLE), 6) AS s_dist_edge FROM range(64) t(i)",
+    "spatial_coords": "SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, round((i % 8) / 7.0::DOUBLE, 6) AS s_x, round((i // 8) / 7.0::DOUBLE, 6) AS s_y, round(sqrt(((i % 8) / 7.0::DOUBLE - 0.5) ** 2 + ((i // 8) / 7.0::DOUBLE - 0.5) ** 2), 6) AS s_dist_center, round(least((i % 8) / 7.0::DOUBLE, 1 - (i % 8) / 7.0::DOUBLE, (i // 8) / 7.0::DOUBLE, 1 - (i // 8) / 7.0::DOUBLE), 6) AS s_dist_edge FROM embeddings, range(64) t(i)",
     "one_hot": "SELECT vec_id AS image_id, " + ", ".join(f"CAST(label = {k} AS INTEGER) AS c_{k}" for k in range(10)) + ", " + ", ".join(f"CAST(vec_id % 5 = {k} AS INTEGER) AS v_{k}" for k in range(5)) + " FROM embeddings",
     "image_aggregates": f"WITH {PX} SELECT image_id, round(max(v), 6) AS imgmax, round(quantile_cont(v, 0.99), 6) AS imgp99, round(avg(v), 6) AS imgmean, round(stddev_pop(v), 6) AS imgstd FROM px GROUP BY image_id",
     "patchify": f"WITH {PX}, s AS (SELECT a.image_id, a.p, sum(b.v) / 9 AS x, sum(abs(b.v)) / 9 AS y FROM px a JOIN px b ON b.image_id = a.image_id AND abs(a.r - b.r) <= 1 AND abs(a.c - b.c) <= 1 GROUP BY a.image_id, a.p) SELECT image_id, p, round(x / sqrt(x * x + y * y), 5) AS u0, round(y / sqrt(x * x + y * y), 5) AS u1 FROM s",
     "avg_windows": f"WITH {PX} SELECT a.image_id, a.r, a.c, round(avg(b.v), 6) AS v FROM px a JOIN px b ON b.image_id = a.image_id AND b.r BETWEEN a.r AND a.r + 2 AND b.c BETWEEN a.c AND a.c + 2 WHERE a.r < 6 AND a.c < 6 GROUP BY a.image_id, a.r, a.c",
     "mask_to_patches": f"WITH {PX} SELECT image_id, r // 2 AS r, c // 2 AS c, round(avg((v > 0.15)::INT), 6) AS v FROM px GROUP BY image_id, r // 2, c // 2",
     "corrupt_blend": f"WITH {PX} SELECT image_id, r, c, round(CASE WHEN v > 0.15 THEN 0.6 * v + 0.4 * (p / 64.0::DOUBLE) ELSE v END, 6) AS v FROM px",
-    "ellipse_mask": "SELECT CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST((i % 8 - 3.7::DOUBLE) ** 2 / 3.1::DOUBLE ** 2 + (i // 8 - 3.2::DOUBLE) ** 2 / 2.6::DOUBLE ** 2 <= 1 AS INTEGER) AS inside FROM range(64) t(i)",
+    "ellipse_mask": "SELECT vec_id AS image_id, CAST(i // 8 AS INTEGER) AS r, CAST(i % 8 AS INTEGER) AS c, CAST((i % 8 - 3.7::DOUBLE) ** 2 / 3.1::DOUBLE ** 2 + (i // 8 - 3.2::DOUBLE) ** 2 / 2.6::DOUBLE ** 2 <= 1 AS INTEGER) AS inside FROM embeddings, range(64) t(i)",
 }

@@ -12,7 +12,7 @@ from tessera.functions import arrays as A
 from tessera.functions import text as T
 from tessera.operators import alignment, metrics, ordering, priors, retrieval, scoring, stacking
 from tessera.plans import detectors
-from tessera.plans.maps import maps, q_encode
+from tessera.plans.maps import _Q8, PX, _bilinear_sql, maps, q_encode
 from tessera.sources import images, predictions
 from tessera.streaming import scoring as streams
 
@@ -35,7 +35,9 @@ def scored_docs(spark, d) -> DataFrame:
 
 
 def q_scan_filter(spark, d):
-    return table(spark, d, "embeddings").where((F.col("label") == 3) & (F.col("vec_id") % 5 == 2)).select("vec_id", "label")
+    """The images of one class and split: the label and the view stand in for them."""
+    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("label").alias("cls"), (F.col("vec_id") % 5).alias("split"))
+    return images.select(rows, 3, 2).select("vec_id", "label")
 
 
 def q_classes(spark, d):
@@ -189,7 +191,7 @@ def _knn(k: int, metric: str):
 def _knn_sql(k: int, metric: str) -> str:
     one = "1 - list_inner_product(q.e, b.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(b.e, b.e)))" if metric == "cosine" else "list_sum(list_transform(list_zip(q.e, b.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
     return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-      p AS (SELECT q.vec_id, {one} AS dist FROM v q JOIN v b ON b.label = 0 AND b.vec_id % 2 = 0 WHERE q.vec_id % 2 = 1),
+      p AS (SELECT q.vec_id, {one} AS dist FROM v q JOIN v b ON b.label = 0 AND b.vec_id <> q.vec_id),
       r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist) AS n FROM p)
       SELECT vec_id, round(avg(dist), 5) AS distance FROM r WHERE n <= {k} GROUP BY vec_id"""
 
@@ -206,22 +208,22 @@ def q_foreground(spark, d):
     return kept
 
 
-_MIX = (np.array([0.5, 0.3, 0.2]), np.array([[0.0] * 4, [0.1, -0.1, 0.1, -0.1], [-0.1, 0.1, 0.0, 0.0]]), np.array([[60.0] * 4, [40.0, 50.0, 60.0, 70.0], [80.0, 40.0, 80.0, 40.0]]))
+#: A mixture of three components over the 64 values of a vector: weights, means, precisions.
+_MIX = (np.array([0.5, 0.3, 0.2]), np.array([[0.0] * 64, [0.1, -0.1] * 32, [-0.1, 0.1, 0.0, 0.0] * 16]), np.array([[60.0] * 64, [40.0, 50.0, 60.0, 70.0] * 16, [80.0, 40.0] * 32]))
 
 
 def q_mixture(spark, d):
-    rows = vectors(spark, d).select("vec_id", F.slice("embedding", 1, 4).alias("v"))
+    rows = vectors(spark, d).select("vec_id", F.col("embedding").alias("v"))
     return rows.select("vec_id", F.round(-scoring.mixture_log_density(F.col("v"), *_MIX), 5).alias("nll"))
 
 
 def _mixture_sql() -> str:
     terms = []
     for w, m, p in zip(*_MIX, strict=True):
-        base = math.log(w) + 0.5 * float(np.log(p).sum()) - 2 * math.log(2 * math.pi)
-        terms.append(f"{base!r}::DOUBLE - 0.5 * (" + " + ".join(f"{x!r}::DOUBLE * (e{i} - ({c!r}::DOUBLE)) ** 2" for i, (c, x) in enumerate(zip(m.tolist(), p.tolist(), strict=True))) + ")")
-    cols = ", ".join(f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(4))
+        base = math.log(w) + 0.5 * float(np.log(p).sum()) - 32 * math.log(2 * math.pi)
+        terms.append(f"{base!r}::DOUBLE - 0.5 * list_sum(list_transform(list_zip(e, {m.tolist()}::DOUBLE[], {p.tolist()}::DOUBLE[]), lambda x: x[3] * (x[1] - x[2]) ** 2))")
     lse = " + ".join(f"exp(l{k} - greatest(l0, l1, l2))" for k in range(3))
-    return f"WITH v AS (SELECT vec_id, {cols} FROM embeddings), l AS (SELECT vec_id, {', '.join(f'{t} AS l{k}' for k, t in enumerate(terms))} FROM v) SELECT vec_id, round(-(greatest(l0, l1, l2) + ln({lse})), 5) AS nll FROM l"
+    return f"WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), l AS (SELECT vec_id, {', '.join(f'{t} AS l{k}' for k, t in enumerate(terms))} FROM v) SELECT vec_id, round(-(greatest(l0, l1, l2) + ln({lse})), 5) AS nll FROM l"
 
 
 #: Rows that the mixture is fitted on at most; the detector's own bound.
@@ -247,7 +249,7 @@ _SQD = "list_sum(list_transform(list_zip(a, b), lambda x: (x[1] - x[2]) * (x[1]
 
 
 def q_flow_nll(spark, d):
-    return _pairs(spark, d).select("vec_id", F.round(scoring.flow_nll(F.col("a"), A.total(F.slice("b", 1, 4))), 5).alias("nll"))
+    return _pairs(spark, d).select("vec_id", F.round(scoring.flow_nll(F.col("a"), A.total(F.col("b"))), 5).alias("nll"))
 
 
 def q_cosine_map(spark, d):
@@ -268,7 +270,7 @@ def q_student_teacher(spark, d):
 
 
 def q_contrastive(spark, d):
-    return vectors(spark, d).select("vec_id", F.round(scoring.contrastive_loss(F.transform(F.slice("embedding", 1, 8), lambda x: x * x)), 7).alias("loss"))
+    return vectors(spark, d).select("vec_id", F.round(scoring.contrastive_loss(F.transform("embedding", lambda x: x * x)), 7).alias("loss"))
 
 
 def q_zero_shot(spark, d):
@@ -292,7 +294,23 @@ def q_neighbour_mask(spark, d):
 def q_project(spark, d):
     """Seeded random projections keep lengths on average: the mean squared length by class."""
     out = retrieval.project(vectors(spark, d), 32, seed=1)
-    return out.select("label", A.dot(F.col("projected"), F.col("projected")).alias("s")).groupBy("label").agg(F.avg("s").alias("mean_square"))
+    return out.select("label", A.dot(F.col("projected"), F.col("projected")).alias("s")).groupBy("label").agg(F.round(F.avg("s"), 6).alias("mean_square"))
+
+
+def _project_sql() -> str:
+    table = retrieval.projection(64, 32, 1)
+    return f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), m AS (SELECT unnest({table.T.tolist()}::DOUBLE[][]) AS c),
+      p AS (SELECT vec_id, label, sum(list_inner_product(e, c) ** 2) AS s FROM v, m GROUP BY vec_id, label) SELECT label, round(avg(s), 6) AS mean_square FROM p GROUP BY label"""
+
+
+def _kcenter_sql(n: int) -> str:
+    """The greedy choice written out, one table of distances and one chosen row a turn."""
+    steps = ["v AS MATERIALIZED (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings WHERE label = 0)", "d0 AS MATERIALIZED (SELECT vec_id, e, 1e300::DOUBLE AS d FROM v)", "c0 AS MATERIALIZED (SELECT vec_id, e FROM v ORDER BY vec_id LIMIT 1)"]
+    for k in range(1, n):
+        gap = "list_sum(list_transform(list_zip(d.e, c.e), lambda x: (x[1] - x[2]) * (x[1] - x[2])))"
+        steps.append(f"d{k} AS MATERIALIZED (SELECT d.vec_id, d.e, CASE WHEN d.vec_id = c.vec_id THEN -1 ELSE least(d.d, {gap}) END AS d FROM d{k - 1} d, c{k - 1} c)")
+        steps.append(f"c{k} AS MATERIALIZED (SELECT vec_id, e FROM d{k} WHERE d >= 0 ORDER BY d DESC, vec_id LIMIT 1)")
+    return f"WITH {', '.join(steps)} " + " UNION ALL ".join(f"SELECT vec_id, {k}::INTEGER AS turn FROM c{k}" for k in range(n))
 
 
 # ---- text ----
@@ -401,7 +419,7 @@ def _oof(name: str, **params):
 def _calibrated(method: str):
     def run(spark, d):
         df = _features(spark, d).withColumn("prediction", 1 - F.col("bangs"))
-        return stacking.fit_calibrator(df, method, key="doc_id").apply(df).select("doc_id", "prediction", "calibrated")
+        return stacking.fit_calibrator(df, method, key="doc_id").apply(df).select("doc_id", F.round("prediction", 9).alias("prediction"), F.round("calibrated", 4).alias("calibrated"))
 
     return run
 
@@ -469,13 +487,41 @@ QUERIES = {
     "stream_bank": q_stream_bank,
 }
 
+#: Labelled documents with the share of exclamation marks (``x``) and the label (``y``).
+_MARKS = "marks AS MATERIALIZED (SELECT d.doc_id, 1 - (greatest(length(text), 1) - length(regexp_replace(text, '[^!]', '', 'g')))::DOUBLE / greatest(length(text), 1) AS x, (quality > 0)::INT::DOUBLE AS y FROM documents d JOIN labels l ON l.doc_id = d.doc_id)"
+#: Pool adjacent violators as the max-min of means over runs of distinct places.
+_ISOTONIC_SQL = f"""WITH {_MARKS}, u AS MATERIALIZED (SELECT x, row_number() OVER (ORDER BY x) AS i, sum(sum(y)) OVER (ORDER BY x) AS s, sum(count(*)) OVER (ORDER BY x) AS w, sum(y) AS own, count(*) AS n FROM marks GROUP BY x),
+  runs AS (SELECT a.i AS j, b.i AS k, (b.s - a.s + a.own) / (b.w - a.w + a.n) AS mean FROM u a JOIN u b ON b.i >= a.i),
+  low AS (SELECT j, k AS i, min(mean) OVER (PARTITION BY j ORDER BY k DESC) AS m FROM runs), fit AS (SELECT i, max(m) AS f FROM low GROUP BY i)
+  SELECT doc_id, round(x, 9) AS prediction, round(f, 4) AS calibrated FROM marks JOIN u USING (x) JOIN fit USING (i)"""
+#: Newton steps of a logistic regression of one feature.
+_PLATT_SQL = f"""WITH RECURSIVE {_MARKS}, steps AS (
+    SELECT 0 AS turn, 0::DOUBLE AS a, 0::DOUBLE AS b
+    UNION ALL
+    SELECT turn + 1, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01)
+    FROM (SELECT turn, a, b, sum(p - y) AS g0, sum((p - y) * x) AS g1, sum(p * (1 - p)) AS h00, sum(p * (1 - p) * x) AS h01, sum(p * (1 - p) * x * x) AS h11
+          FROM (SELECT turn, a, b, x, y, 1 / (1 + exp(-(a + b * x))) AS p FROM steps, marks WHERE turn < 25) GROUP BY turn, a, b))
+  SELECT doc_id, round(x, 9) AS prediction, round(1 / (1 + exp(-(a + b * x))), 4) AS calibrated FROM marks, steps WHERE turn = 25"""
+#: What the check of the planted submission finds, over the rows that its systematic sample takes.
+_CHECK_SQL = f"""WITH {PX}, planted AS (SELECT CAST(image_id AS VARCHAR) AS id, 8 AS h, 8 AS w, CASE WHEN image_id % 2 = 0 THEN 255 ELSE {_Q8} END AS x FROM px UNION ALL SELECT '00', 1, 2, 255 FROM range(2)),
+  each AS (SELECT id, any_value(h) AS h, any_value(w) AS w, avg((x = 255)::INT) AS f, avg((x > 127)::INT) AS b FROM planted GROUP BY id),
+  placed AS (SELECT *, row_number() OVER (ORDER BY id) - 1 AS place, greatest(1, count(*) OVER () // 400) AS step FROM each),
+  seen AS (SELECT * FROM placed WHERE place % step = 0 ORDER BY id LIMIT 400), found AS (SELECT count(DISTINCT (h, w)) AS shapes, avg(f) AS f, avg(b) AS b FROM seen)
+  SELECT 'error' AS level, shapes || ' different shapes' AS message FROM found WHERE shapes > 1
+  UNION ALL SELECT 'warning', format('{{:.1f}}% of the pixels are saturated', f * 100) FROM found WHERE f > 0.02
+  UNION ALL SELECT 'warning', format('{{:.1f}}% of the pixels are above one half', b * 100) FROM found WHERE b > 0.25"""
+#: Maps brought to 6 x 6, scaled by global percentiles, quantised, and their runs down the columns counted.
+_BUILD_SQL = f"""WITH small AS ({_bilinear_sql(6).replace("round(sum(p.v * w.k), 6)", "sum(p.v * w.k)")}), b AS (SELECT quantile_cont(v, 0.01) AS lo, quantile_cont(v, 0.995) AS hi FROM small),
+  q AS (SELECT image_id, c * 6 + r AS k, round_even(CAST(CAST(least(1, greatest(0, (v - lo) / greatest(hi - lo, 1e-9))) AS FLOAT) * CAST(255 AS FLOAT) AS DOUBLE), 0) AS x FROM small, b),
+  e AS (SELECT image_id, (x IS DISTINCT FROM lag(x) OVER (PARTITION BY image_id ORDER BY k))::INT AS new FROM q)
+  SELECT CAST(image_id AS VARCHAR) AS ID, CAST(sum(new) AS INTEGER) AS runs FROM e GROUP BY image_id"""
 _CONV = "CASE WHEN turn % 4 = 3 THEN 'plain.' || conv_id || '.png' ELSE 'conv_' || conv_id || '_view0' || turn || '.png' END"
 _KINDS = "kinds AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS k FROM (SELECT DISTINCT event_type FROM events)), chosen AS (SELECT CASE WHEN (SELECT count(*) FROM kinds WHERE k <= 3 AND event_type IN ('click', 'view', 'purchase')) = 3 THEN ['click', 'view', 'purchase'] ELSE (SELECT list(event_type ORDER BY k) FROM kinds WHERE k <= 3) END AS c)"
 _FAM = _families_sql("text")
 _MD5 = "md5(CAST(doc_id AS VARCHAR)), doc_id"
 ORACLE_SQL = {
     "bank_average_precision": f"""WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings),
-      p AS (SELECT q.vec_id, any_value(q.label) AS label, min(1 - list_inner_product(q.e, b.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(b.e, b.e)))) AS dist FROM v q JOIN v b ON b.label = 0 AND b.vec_id % 2 = 0 WHERE q.vec_id % 2 = 1 GROUP BY q.vec_id),
+      p AS (SELECT q.vec_id, any_value(q.label) AS label, min(1 - list_inner_product(q.e, b.e) / (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(b.e, b.e)))) AS dist FROM v q JOIN v b ON b.label = 0 AND b.vec_id <> q.vec_id GROUP BY q.vec_id),
       o AS (SELECT CAST(vec_id % 5 AS VARCHAR) AS view, round(dist, 9) AS score, (label <> 0)::INT AS label FROM p), x AS (SELECT * FROM o UNION ALL SELECT 'all', score, label FROM o),
       {_ap_sql("x", "view")} SELECT view, n, n_positive, round(ap, 6) AS ap FROM ap""",
     "scan_filter_class": "SELECT vec_id, label FROM embeddings WHERE label = 3 AND vec_id % 5 = 2",
@@ -503,12 +549,18 @@ ORACLE_SQL = {
     "knn_bank_k1": _knn_sql(1, "cosine"),
     "knn_bank_k3": _knn_sql(3, "cosine"),
     "knn_l2_k3": _knn_sql(3, "l2"),
+    "kcenter": _kcenter_sql(12),
+    "random_projection": _project_sql(),
+    "submission_check": _CHECK_SQL,
+    "submission_build": _BUILD_SQL,
+    "isotonic": _ISOTONIC_SQL,
+    "platt": _PLATT_SQL,
     "mixture_nll": _mixture_sql(),
-    "flow_nll": f"WITH {_PAIRS} SELECT vec_id, round(0.5 * list_inner_product(a, a) - (b[1] + b[2] + b[3] + b[4]), 5) AS nll FROM pairs",
+    "flow_nll": f"WITH {_PAIRS} SELECT vec_id, round(0.5 * list_inner_product(a, a) - list_sum(b), 5) AS nll FROM pairs",
     "cosine_distance_map": f"WITH {_PAIRS}, h AS (SELECT vec_id, " + ", ".join(f"1 - list_inner_product(a[{s}:{s + 31}], b[{s}:{s + 31}]) / (greatest(sqrt(list_inner_product(a[{s}:{s + 31}], a[{s}:{s + 31}])), 1e-8) * greatest(sqrt(list_inner_product(b[{s}:{s + 31}], b[{s}:{s + 31}])), 1e-8)) AS d{s}" for s in (1, 33)) + " FROM pairs) SELECT vec_id, round(d1 * d33, 5) AS multiplied, round(d1 + d33, 5) AS added FROM h",
     "residual_map": f"WITH {_PAIRS} SELECT vec_id, round({_SQD} / 64, 6) AS residual FROM pairs",
     "student_teacher_z": f"WITH {_PAIRS}, z AS (SELECT vec_id, {_SQD} / 64 AS s, list_sum(list_transform(list_zip(b, a), lambda x: (x[1] - 0.5 * x[2]) * (x[1] - 0.5 * x[2]))) / 64 AS t FROM pairs) SELECT vec_id, round(((s - 0.03) / 0.01 + (t - 0.02) / 0.005) / 2, 4) AS score FROM z",
-    "contrastive_loss": "WITH l AS (SELECT vec_id, list_sort(list_transform(embedding[1:8], lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS s FROM embeddings) SELECT vec_id, round((greatest(s[1] - 1e-5, 0) + greatest(s[2] - 1e-5, 0) + greatest(s[3] - 1e-5, 0)) / 3 + (greatest(1e-5 + 1e-3 - s[4], 0) + greatest(1e-5 + 1e-3 - s[5], 0) + greatest(1e-5 + 1e-3 - s[6], 0)) / 3, 7) AS loss FROM l",
+    "contrastive_loss": "WITH l AS (SELECT vec_id, list_sort(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE))) AS s FROM embeddings) SELECT vec_id, round((greatest(s[1] - 1e-5, 0) + greatest(s[2] - 1e-5, 0) + greatest(s[3] - 1e-5, 0)) / 3 + (greatest(1e-5 + 1e-3 - s[4], 0) + greatest(1e-5 + 1e-3 - s[5], 0) + greatest(1e-5 + 1e-3 - s[6], 0)) / 3, 7) AS loss FROM l",
     "zero_shot": """WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings), u AS (SELECT label, i, avg(e[i] / sqrt(list_inner_product(e, e))) AS m FROM v, range(1, 65) t(i) WHERE label < 2 GROUP BY label, i),
       m AS (SELECT label, list(m ORDER BY i) AS m FROM u GROUP BY label), n AS (SELECT m FROM m WHERE label = 0), o AS (SELECT m FROM m WHERE label = 1)
       SELECT vec_id, round(1 / (1 + exp(10 * (list_inner_product(e, n.m) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(n.m, n.m))) - list_inner_product(e, o.m) / (sqrt(list_inner_product(e, e)) * sqrt(list_inner_product(o.m, o.m)))))), 4) AS score FROM v, n, o""",
@@ -517,7 +569,7 @@ ORACLE_SQL = {
     "defect_families": f"SELECT doc_id, array_to_string(list_filter([{', '.join(_FAM)}], lambda x: x IS NOT NULL), ',') AS families FROM documents",
     "taxonomy": f"WITH l AS (SELECT source AS cls, doc_id, unnest([{', '.join(_FAM)}]) AS f, unnest([1, 2, 3, 4]) AS k FROM documents), n AS (SELECT cls, f, count(*) AS n, min(doc_id * 10 + k) AS first FROM l WHERE f IS NOT NULL GROUP BY cls, f), g AS (SELECT cls, string_agg(f, ',' ORDER BY n DESC, first) AS families FROM n GROUP BY cls) SELECT d.cls, coalesce(families, 'none') AS families FROM (SELECT DISTINCT source AS cls FROM documents) d LEFT JOIN g ON g.cls = d.cls",
     "prompts": f"SELECT lower(n_name) AS name, replace(replace(t, '{{state}}', s), '{{obj}}', lower(n_name)) AS prompt FROM nation, unnest({list(T.TEMPLATES)!r}) a(t), unnest({list(T.ANOMALY_STATES)!r}) b(s)",
-    "description_prompts": f"WITH s AS (SELECT DISTINCT lang AS name, trim(substr(text, 1, 40)) AS t FROM documents), k AS (SELECT name, unnest([{', '.join(_families_sql('t'))}]) AS k FROM s), p AS (SELECT name, unnest(['a photo of a defective ' || name || ': ' || t, 'a photo of an anomalous ' || name || ': ' || t]) AS prompt FROM s WHERE t <> '' UNION SELECT name, unnest(['a photo of a ' || name || ' with ' || k, 'a ' || name || ' showing ' || k, 'a close-up photo of ' || k || ' on a ' || name]) FROM k WHERE k IS NOT NULL) SELECT DISTINCT name, prompt FROM p",
+    "description_prompts": f"WITH s AS (SELECT DISTINCT lang AS name, trim(text) AS t FROM documents), k AS (SELECT name, unnest([{', '.join(_families_sql('t'))}]) AS k FROM s), p AS (SELECT name, unnest(['a photo of a defective ' || name || ': ' || t, 'a photo of an anomalous ' || name || ': ' || t]) AS prompt FROM s WHERE t <> '' UNION SELECT name, unnest(['a photo of a ' || name || ' with ' || k, 'a ' || name || ' showing ' || k, 'a close-up photo of ' || k || ' on a ' || name]) FROM k WHERE k IS NOT NULL) SELECT DISTINCT name, prompt FROM p",
     "slugify": "SELECT page_id, regexp_replace(regexp_replace(url, '[^A-Za-z0-9._-]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM pages",
     "sha1_digest": "SELECT o_orderkey, substr(sha1(o_orderstatus || '|' || o_orderpriority || '|' || CAST(o_custkey AS VARCHAR)), 1, 6) AS digest FROM orders",
     "submission_dedupe": "SELECT CAST(o_custkey AS VARCHAR) AS ID, 'q8rle ' || max(o_orderkey) AS Label FROM orders GROUP BY o_custkey",

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import codec
-from tessera.functions.arrays import let
+from tessera.functions.arrays import each, let
 from tessera.functions.raster import resize_bilinear
-from tessera.operators.ordering import normalised
+from tessera.operators.alignment import align
+from tessera.operators.ordering import calibration, normalised, percentiles, running_totals
+from tessera.store import checkpoint_root
 
 SIDE = 224
 
@@ -57,10 +61,10 @@ def clipped_share(maps: DataFrame, data: str = "data", key: str = "image_id", ma
     """Whether scores look clipped: the 99.9th percentile of every n-th map meets the largest score."""
     n = maps.count()
     step = max(1, n // maps_seen)
-    hashed = maps.where(F.pmod(F.xxhash64(key), F.lit(step)) == 0)
-    pixels = hashed.select(F.explode(data).alias("x"))
+    placed = running_totals(maps.select(key, data).withColumn("_one", F.lit(1)), (), [F.col(key)], {"_nth": "_one"})
+    pixels = each(placed.where((F.col("_nth") - 1) % step == 0), [], F.col(data), "_p", "x")
     top = maps.agg(F.max(F.array_max(data)).alias("largest"))
-    return pixels.agg(F.percentile("x", F.lit(0.999)).alias("p999")).crossJoin(top).withColumn("clipped", F.abs(F.col("p999") - F.col("largest")) <= 1e-8 + 1e-5 * F.abs("largest"))
+    return percentiles(pixels, "x", [0.999]).withColumnRenamed("p0", "p999").crossJoin(top).withColumn("clipped", F.abs(F.col("p999") - F.col("largest")) <= 1e-8 + 1e-5 * F.abs("largest"))
 
 
 def submission(maps: DataFrame, calibrate: bool = True, side: int = SIDE, key: str = "image_id") -> DataFrame:
@@ -72,20 +76,85 @@ def submission(maps: DataFrame, calibrate: bool = True, side: int = SIDE, key: s
         raise ValueError("ids must be unique")
     small = maps.select(F.col(key).cast("string").alias("ID"), F.transform(resize_bilinear(F.col("data"), F.col("h"), F.col("w"), side, side), lambda x: x.cast("double")).alias("data"))
     if calibrate:
-        p = small.select(F.explode("data").alias("x")).agg(F.percentile("x", F.array(F.lit(0.01), F.lit(0.995)))).first()[0]
-        lo, hi = (p[0], p[1] if p[1] > p[0] else p[0] + 1e-6) if p else (0.0, 1.0)
+        row = calibration(each(small, [], F.col("data"), "_p", "x"), "x").first()
+        lo, hi = (row["lo"], row["hi"]) if row else (0.0, 1.0)
     else:
         lo, hi = 0.0, 1.0
     scaled = F.transform("data", lambda x: normalised(x, F.lit(lo), F.lit(hi)))
     return small.select("ID", codec.encode(codec.quantise(scaled), F.lit(side), F.lit(side)).alias("Label"))
 
 
-def write_submission(rows: DataFrame, path: str) -> None:
-    rows.write.mode("overwrite").option("header", True).csv(path)
+def write_submission(rows: DataFrame, path: str, zip_it: bool = False, single: bool = True) -> str:
+    """Write ``ID, Label`` as CSV with a header and return where: one file in order of ``ID``, or a folder of part files.
+
+    A single file is written by one task, row by row, and moved to ``path``; ``zip_it``
+    copies it into ``path`` with ``.zip`` for its suffix. Every step goes through Hadoop's
+    file system, so the path can be in any store that Spark writes to.
+    """
+    if not single:
+        if zip_it:
+            raise ValueError("only a single file can be zipped")
+        rows.select("ID", "Label").write.mode("overwrite").option("header", True).csv(path)
+        return path
+    spark = rows.sparkSession
+    parts = f"{path}-{uuid.uuid4().hex}"
+    rows.select("ID", "Label").orderBy("ID").coalesce(1).write.option("header", True).csv(parts)
+    fs, target = _file_system(spark, path)
+    written = [s.getPath() for s in fs.listStatus(_path(spark, parts)) if s.getPath().getName().startswith("part-")]
+    fs.delete(target, False)
+    if written:
+        if not fs.rename(written[0], target):
+            raise OSError(f"{path} could not be written")
+    else:  # no rows, no part file: the header alone
+        out = fs.create(target, True)
+        out.write(bytearray(b"ID,Label\n"))
+        out.close()
+    fs.delete(_path(spark, parts), True)
+    return zip_submission(spark, path) if zip_it else path
+
+
+def zip_submission(spark: SparkSession, path: str) -> str:
+    """A copy of one CSV file, deflated, beside it: ``x.csv`` becomes ``x.zip``."""
+    fs, source = _file_system(spark, path)
+    target = path.removesuffix(".csv") + ".zip"
+    io = spark._jvm.java.util.zip
+    out = io.ZipOutputStream(fs.create(_path(spark, target), True))
+    out.putNextEntry(io.ZipEntry(source.getName()))
+    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(source), out, 1 << 20, False)
+    out.closeEntry()
+    out.close()
+    return target
+
+
+def unzipped(spark: SparkSession, path: str) -> str:
+    """The first CSV file inside a zip, copied to the shared checkpoint folder."""
+    fs, source = _file_system(spark, path)
+    target = f"{checkpoint_root(spark)}/tessera/unzipped-{uuid.uuid4().hex}.csv"
+    held = spark._jvm.java.util.zip.ZipInputStream(fs.open(source))
+    entry = held.getNextEntry()
+    while entry is not None and not entry.getName().endswith(".csv"):
+        entry = held.getNextEntry()
+    if entry is None:
+        held.close()
+        raise ValueError(f"{path} holds no CSV file")
+    to, place = _file_system(spark, target)
+    spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(held, to.create(place, True), 1 << 20, True)
+    return target
+
+
+def _path(spark: SparkSession, path: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path)
+
+
+def _file_system(spark: SparkSession, path: str):
+    place = _path(spark, path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
 
 
 def read_submission(spark: SparkSession, path: str) -> DataFrame:
-    """``ID, Label`` of a submission folder or file; rows with fewer fields are dropped, of repeated ids the last stays."""
+    """``ID, Label`` of a submission folder, file or zip; rows with fewer fields are dropped, of repeated ids the last stays."""
+    if path.endswith(".zip"):
+        path = unzipped(spark, path)
     lines = spark.read.option("header", True).option("maxCharsPerColumn", -1).schema("ID string, Label string").csv(path)
     lines = lines.withColumn("_at", F.monotonically_increasing_id())
     out = last_of_each(lines.where("Label is not null"), "ID", "_at").select("ID", "Label")
@@ -94,6 +163,24 @@ def read_submission(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+def test_scores(spark: SparkSession, paths: dict[str, str], ids: DataFrame | None = None) -> DataFrame:
+    """``image_id, h, w`` and an array column in [0, 1] for each method, for the ids that all submissions hold.
+
+    Maps of another shape than the first method's are brought to it by nearest neighbour.
+    """
+    held = {name: submission_maps(read_submission(spark, path), ids) for name, path in paths.items()}
+    maps = align({name: rows.select("ID", F.struct("h", "w", "data").alias("m")) for name, rows in held.items()}, "ID", "m")
+    flat = maps.select(F.col("ID").alias("image_id"), *[F.col(name)[part].alias(f"_{part}{i}") for i, name in enumerate(paths) for part in ("h", "w", "data")])
+    h, w = F.col("_h0"), F.col("_w0")
+
+    def fitted(i: int) -> Column:
+        own_h, own_w, data = F.col(f"_h{i}"), F.col(f"_w{i}"), F.col(f"_data{i}")
+        moved = F.transform(F.sequence(F.lit(0), h * w - 1), lambda p: F.get(data, F.floor(F.floor(p / w) * own_h / h).cast("int") * own_w + F.floor((p % w) * own_w / w).cast("int")))
+        return F.when((own_h == h) & (own_w == w), data).otherwise(moved)
+
+    return flat.select("image_id", h.alias("h"), w.alias("w"), *[fitted(i).alias(name) for i, name in enumerate(paths)])
+
+
 def last_of_each(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key; an aggregation, so a repeated key never meets in one task in full."""
     packed = rows.groupBy(key).agg(F.max_by(F.struct(*[F.col(c) for c in rows.columns]), F.col(order)).alias("_row"))
@@ -108,6 +195,17 @@ def submission_maps(rows: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     return rows.select("ID", h.alias("h"), w.alias("w"), codec.dequantise(codec.decode(F.col("Label"))).alias("data"))
 
 
+def write_ledger_row(spark: SparkSession, path: str, row: dict) -> None:
+    """Append one run to a ledger: a Parquet file of its own, so runs that end together don't overwrite each other."""
+    text = {k: "" if v is None else str(v) for k, v in row.items()}
+    spark.createDataFrame([tuple(text.values())], ", ".join(f"`{k}` string" for k in text)).coalesce(1).write.mode("append").parquet(path)
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All runs of a ledger; a column that a run did not have is the empty string."""
+    return spark.read.option("mergeSchema", True).parquet(path).na.fill("")
+
+
 def append_ledger(ledger: DataFrame | None, row: DataFrame, missing: str | None = "") -> DataFrame:
     """A ledger with a row more: the union of both column sets in first-seen order, gaps filled."""
     if ledger is None:
