@@ -5,15 +5,19 @@ Base spans are the matches of three patterns. The method adds spans of kind
 candidate is taken if some window of it is as mixed as random characters of its class
 (hexadecimal or base 64). A window's Shannon entropy is log2(n) - sum(c log2 c) / n over
 its character counts c; sliding by one character changes two counts, and the sum is
-kept in whole millionths, so the increments are exact. Candidates that an allow-list
-pattern matches, and those inside a base span, are suppressed.
+kept in whole millionths, so the increments are exact. Candidates that are on the allow
+list, and those inside a base span, are suppressed.
 
-Positions count code points, ends are exclusive. A match's place is the length of the
-stretches between matches (``split``) and of the matches before it.
+Positions count code points, ends are exclusive. Matches are placed by running sums of
+the lengths of the stretches between them (``split``) and of their own. The sums go by
+blocks, blocks of blocks and so on, so work grows with the number of matches and not with
+its square, and no pattern repeats a group, so the stack does not grow with the text.
 
 Defined results: a null or empty text has no span; its base digest is that of the empty
-string. Repeated rows give repeated results. Texts of any length are scanned whole. An
-empty table gives an empty result.
+string. Repeated rows give repeated results, null ids are kept. Texts of any length are
+scanned whole. All columns of the input pass through whatever their names are; only
+columns that are named like the results of ``scan`` are replaced by them. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,15 +36,18 @@ CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 #: Characters of a window, and the least entropy in bits for hexadecimal and other candidates.
 WINDOW, HEX_BITS, OTHER_BITS = 20, 3.2, 3.85
-#: Candidates that are no secrets: words and phrases without digits, numbers, UUIDs, dates and paths of short parts.
+#: Candidates that are no secrets: words and phrases without digits, numbers, UUIDs.
 ALLOWED = (
     r"^[A-Za-z+/_=-]*$",
     r"^[0-9+/_=-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^([A-Za-z]{0,12}[0-9]{0,4}[+/_=-]+)+[A-Za-z]{0,12}[0-9]{0,4}$",
 )
+#: Nor are dates and paths of short parts: candidates whose every part between separators is of this form.
+SEPARATORS, ALLOWED_PART = r"[+/_=-]+", r"^[A-Za-z]{0,12}[0-9]{0,4}$"
 #: c log2 c in millionths, for the counts that a window can hold.
 PARTS = [round(1e6 * c * math.log2(c)) if c else 0 for c in range(WINDOW + 2)]
+#: Entries of a block of a running sum, levels of blocks, and characters of a stretch that texts are cut from.
+RUN, LEVELS, STRETCH = 64, 3, 4_096
 
 
 def most_sum(bits: float) -> int:
@@ -52,15 +59,41 @@ def _quoted(pattern: str) -> str:
     return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, which is evaluated once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _running(xs: str, op: str, level: int = LEVELS) -> str:
+    """SQL for the running totals of the array of whole numbers ``xs`` (a name) under ``op`` (of ``x`` and ``y``; 0 is neutral)."""
+
+    def both(x: str, y: str) -> str:
+        return op.format(x=x, y=y)
+
+    if not level:
+        return f"transform({xs}, (v0, i0) -> aggregate(slice({xs}, 1, i0 + 1), 0, (a0, x0) -> {both('a0', 'x0')}))"
+    k = level
+    block = f"""aggregate(slice({xs}, b{k} * {RUN} + 1, {RUN}), named_struct('at', 0, 'out', cast(array() AS array<int>)),
+        (a{k}, x{k}) -> named_struct('at', {both(f"a{k}.at", f"x{k}")}, 'out', array_append(a{k}.out, {both(f"a{k}.at", f"x{k}")})), a{k} -> a{k}.out)"""
+    shifted = f"flatten(transform(local{k}, (l{k}, j{k}) -> if(j{k} = 0, l{k}, transform(l{k}, x{k} -> {both(f'x{k}', f'before{k}[j{k} - 1]')}))))"
+    joined = _let(f"totals{k}", f"transform(local{k}, l{k} -> element_at(l{k}, -1))", _let(f"before{k}", _running(f"totals{k}", op, level - 1), shifted))
+    blocks = f"transform(sequence(0, (size({xs}) - 1) div {RUN}), b{k} -> {block})"
+    return f"if(size({xs}) = 0, {xs}, {_let(f'local{k}', blocks, f'if(size(local{k}) = 1, local{k}[0], {joined})')})"
+
+
+SPAN = "struct<start:int,rank:int,kind:string,stop:int,m:string,g:string>"
+
+
 def _spans(text: str, pattern: str, kind: str, rank: int, keep_if: str = "true", group: int = 0) -> str:
     """SQL for the array of spans of a pattern; ``keep_if`` may read ``m`` (the match) and ``g`` (the group)."""
-    return f"""CASE WHEN {text} RLIKE {_quoted(pattern)} THEN filter(aggregate(
-        arrays_zip(slice(split({text}, {_quoted(pattern)}, -1), 1, size(regexp_extract_all({text}, {_quoted(pattern)}, 0))),
-                   regexp_extract_all({text}, {_quoted(pattern)}, 0), regexp_extract_all({text}, {_quoted(pattern)}, {group})),
-        named_struct('at', 0, 'out', cast(array() AS array<struct<start:int,rank:int,kind:string,stop:int,m:string,g:string>>)),
-        (a, x) -> named_struct('at', a.at + char_length(x.`0`) + char_length(x.`1`), 'out', array_append(a.out,
-            named_struct('start', a.at + char_length(x.`0`), 'rank', {rank}, 'kind', '{kind}', 'stop', a.at + char_length(x.`0`) + char_length(x.`1`), 'm', x.`1`, 'g', x.`2`)))).out,
-        x -> {keep_if}) ELSE array() END"""
+    p = _quoted(pattern)
+    every = f"regexp_extract_all({text}, {p}, 0)"
+    found = f"""filter(transform(ms, (m, i) -> named_struct('start', stops[i] - sizes[i], 'rank', {rank}, 'kind', '{kind}', 'stop', stops[i], 'm', m, 'g', {"gs[i]" if group else "m"})), x -> {keep_if})"""
+    if group:
+        found = _let("gs", f"regexp_extract_all({text}, {p}, {group})", found)
+    steps = f"zip_with(slice(split({text}, {p}, -1), 1, size(ms)), sizes, (gap, size) -> char_length(gap) + size)"
+    placed = _let("steps", steps, _let("stops", _running("steps", "{x} + {y}"), found))
+    return f"CASE WHEN {text} RLIKE {p} THEN {_let('ms', every, _let('sizes', 'transform(ms, m -> char_length(m))', placed))} ELSE cast(array() AS array<{SPAN}>) END"
 
 
 def _least_sum(candidate: str) -> str:
@@ -80,25 +113,27 @@ def _least_sum(candidate: str) -> str:
         a -> a.least)"""
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with ``_base`` and ``_added``: arrays of spans (start, rank, kind, stop, m, g) in order of start, then kind.
-
-    Columns of ``docs`` with those two names or ``_text`` would be replaced.
-    """
-    with_text = docs.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
-    base = with_text.withColumn(
-        "_base",
-        F.expr(f"""array_sort(concat(
-            {_spans("_text", ASSIGN, "assign", 0, f"char_length(x.g) >= {ASSIGN_LEAST}", 2)},
-            {_spans("_text", ACCESS, "access", 1)},
-            {_spans("_text", HEX, "hex", 2)}))"""),
-    )
-    allowed = " OR ".join(f"x.m RLIKE {_quoted(p)}" for p in ALLOWED)
+def _found(docs: DataFrame, text: str) -> DataFrame:
+    """``row`` (the columns of ``docs``), ``text`` (null: empty), ``spans`` (all, by start, then kind) and ``reach`` (the furthest stop up to each)."""
+    held = docs.select(F.struct("*").alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    allowed = " OR ".join([f"x.m RLIKE {_quoted(p)}" for p in ALLOWED] + [f"forall(split(x.m, {_quoted(SEPARATORS)}), part -> part RLIKE {_quoted(ALLOWED_PART)})"])
     least = f"if(x.m RLIKE '^[0-9a-fA-F]+$', {most_sum(HEX_BITS)}L, {most_sum(OTHER_BITS)}L)"
-    added = _spans("_text", CANDIDATE, "entropy", 3, f"NOT ({allowed}) AND {_least_sum('x.m')} <= {least}")
-    base = base.withColumn("_added", F.expr(added))
-    inside = "exists(_base, b -> b.start <= x.start AND x.stop <= b.stop)"
-    return base.withColumn("_added", F.expr(f"filter(_added, x -> NOT {inside})")).drop("_text")
+    every = f"""array_sort(concat(
+        {_spans("text", ASSIGN, "assign", 0, f"char_length(x.g) >= {ASSIGN_LEAST}", 2)},
+        {_spans("text", ACCESS, "access", 1)},
+        {_spans("text", HEX, "hex", 2)},
+        {_spans("text", CANDIDATE, "entropy", 3, f"NOT ({allowed}) AND {_least_sum('x.m')} <= {least}")}))"""
+    furthest = _let("ends", "transform({}, x -> if({}, x.stop, 0))", _running("ends", "greatest({x}, {y})"))
+    held = held.withColumn("every", F.expr(every))
+    inside = _let("reach", furthest.format("every", "x.rank < 3"), "filter(every, (x, i) -> x.rank < 3 OR x.stop > reach[i])")
+    held = held.withColumn("spans", F.expr(f"if(size(every) < 2, every, {inside})")).drop("every")
+    return held.withColumn("reach", F.expr(furthest.format("spans", "true")))
+
+
+def scan(docs: DataFrame, text: str = "text", base: str = "_base", added: str = "_added") -> DataFrame:
+    """``docs`` with the columns ``base`` and ``added``: arrays of spans (start, rank, kind, stop, m, g) in order of start, then kind."""
+    found = _found(docs, text).select("row", F.expr("filter(spans, x -> x.rank < 3)").alias("base"), F.expr("filter(spans, x -> x.rank = 3)").alias("added"))
+    return found.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in (base, added)], F.col("base").alias(base), F.col("added").alias(added))
 
 
 def joined(spans: str | Column) -> Column:
@@ -106,14 +141,20 @@ def joined(spans: str | Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["stop"])), ",")
 
 
+def _cut(start: str, stop: str) -> str:
+    """SQL for the characters of a text from ``start`` to before ``stop``, by its ``parts`` of STRETCH characters."""
+    parts = f"array_join(slice(parts, {start} div {STRETCH} + 1, {stop} div {STRETCH} - {start} div {STRETCH} + 1), '')"
+    return f"substring({parts}, {start} % {STRETCH} + 1, {stop} - {start})"
+
+
 def redact(docs: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """``docs`` with every found span (base and added, overlapping ones as one) replaced by ``mark`` in ``text``."""
-    found = scan(docs, text).withColumn("_all", F.array_sort(F.concat("_base", "_added")))
-    cut = F.expr(f"""aggregate(_all, named_struct('at', 0, 'out', ''),
-        (a, x) -> named_struct('at', greatest(a.at, x.stop), 'out',
-            if(x.start >= a.at, concat(a.out, substring({text}, a.at + 1, x.start - a.at), '{mark}'), a.out)),
-        a -> concat(a.out, substring({text}, a.at + 1)))""")
-    return found.withColumn(text, F.when(F.size("_all") > 0, cut).otherwise(F.col(text))).drop("_base", "_added", "_all")
+    found = _found(docs, text)
+    before = "if(i = 0, 0, reach[i - 1])"
+    pieces = f"transform(spans, (x, i) -> if(x.start >= {before}, concat({_cut(before, 'x.start')}, {_quoted(mark)}), ''))"
+    whole = _let("parts", f"regexp_extract_all(text, '(?s).{{1,{STRETCH}}}', 0)", f"concat(array_join({pieces}, ''), {_cut('element_at(reach, -1)', 'char_length(text)')})")
+    cut = F.expr(f"CASE WHEN size(spans) > 0 THEN {whole} ELSE row.`{text}` END")
+    return found.withColumn("text", cut).select(*[F.col("text").alias(c) if c == text else F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op10_secrets(spark, sf_dir: str) -> DataFrame:
@@ -123,9 +164,8 @@ def op10_secrets(spark, sf_dir: str) -> DataFrame:
     def count(kind: str) -> Column:
         return F.size(F.filter("_base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
-    return found.select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined(F.array_sort(F.concat("_base", "_added"))).alias("spans")
-    )
+    every = F.array_sort(F.concat("_base", "_added"))
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(joined("_base").cast("binary"), 256).alias("base_sha256"), joined(every).alias("spans"))
 
 
 def _sql_text(pattern: str) -> str:
@@ -148,7 +188,7 @@ base AS (
   {_sql_spans("assign", 0, ASSIGN, f"length(g) >= {ASSIGN_LEAST}", 2)}
   UNION ALL {_sql_spans("access", 1, ACCESS, "true")}
   UNION ALL {_sql_spans("hex", 2, HEX, "true")}),
-candidates AS ({_sql_spans("entropy", 3, CANDIDATE, " AND ".join(f"NOT regexp_matches(m, {_sql_text(p)})" for p in ALLOWED))}),
+candidates AS ({_sql_spans("entropy", 3, CANDIDATE, " AND ".join([f"NOT regexp_matches(m, {_sql_text(p)})" for p in ALLOWED] + [f"len(list_filter(string_split_regex(m, {_sql_text(SEPARATORS)}), lambda part: NOT regexp_matches(part, {_sql_text(ALLOWED_PART)}))) > 0"]))}),
 windows AS (
   SELECT row_no, start, m, substr(m, CAST(k AS INTEGER), {WINDOW}) AS w
   FROM (SELECT row_no, start, m, unnest(range(1, length(m) - {WINDOW} + 2)) AS k FROM candidates)),
