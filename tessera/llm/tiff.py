@@ -3,8 +3,8 @@
 The reader walks the chain of image directories in either byte order and decodes
 strips and tiles that are stored raw, PackBits, LZW or deflate, with or without the
 horizontal predictor, for 8- and 16-bit samples in chunky or planar order. A file
-that is cut short, loops or names an unknown scheme gives its pages so far and the
-reason in ``error``; nothing is raised on the executors.
+that is cut short, loops or names an unknown scheme (predictor 3, 64-bit offsets) gives
+its pages so far and the reason in ``error``; nothing is raised on the executors.
 
 Defined results: a null or empty file gives no page from ``pages_of`` and one row
 with ``page`` null from ``read_pages``. Repeated rows give repeated results. Every
@@ -408,7 +408,7 @@ def read_pages(files: DataFrame, key: str, content: str) -> DataFrame:
 
 # ---- text payloads --------------------------------------------------------
 
-#: How a payload is stored goes round by its number of 64-byte rows, so that every scheme carries a share.
+#: How a payload is stored is drawn by its checksum, so that every scheme carries a share of texts of every length.
 LAYOUTS = (
     {"scheme": DEFLATE, "predictor": 2, "tiled": False},
     {"scheme": DEFLATE, "predictor": 1, "tiled": True},
@@ -439,7 +439,7 @@ def round_trip(text: str | None) -> tuple:
     """Store a text as a TIFF, read the file back and describe what was read (the fields of ``ROUND_TRIP``)."""
     raw = (text or "").encode()
     payload = pad(raw)
-    media = encode(payload, **LAYOUTS[len(payload) // 64 % len(LAYOUTS)])
+    media = encode(payload, **LAYOUTS[zlib.crc32(payload) % len(LAYOUTS)])
     pages = list(pages_of(media))
     back = b"".join(p.samples.tobytes() for p in pages)
     return (len(raw), len(back), sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(media), sha256(media).hexdigest(), feature_of(pages), len(pages))
