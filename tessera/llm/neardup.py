@@ -15,12 +15,16 @@ a pair at the threshold asks for.
 
 Exact copies are merged first, so a group of copies of any size is one document here.
 Only rows of linear number move: a node gives at most one row for each member, and full
-sets travel once, and only those of candidate groups.
+sets travel only for candidate groups. A candidate group that is too large for a task goes
+in chunks that share pivots: what these link is one component already, and only the
+members outside the largest component are compared with all others. Texts are looked up by
+128 bits of hash.
 
 Defined results: a null or empty text, or one of white space, has an empty set, is linked
 with nothing and is its own component. Rows that share an id share a component and stay
 or go together. A null id never is a smallest id; a group of null ids alone has a null
-component and is not kept. An empty table gives an empty result.
+component and is not kept. Texts of any length are read whole. An empty table gives an
+empty result. Columns other than key and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,7 +35,7 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.graph import components
@@ -195,8 +199,9 @@ def _compare_nodes(rows: pd.DataFrame, key: list[str]) -> pd.DataFrame:
     return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
 
-def _compare(members: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
-    """Candidate links inside the nodes, which are of bounded size; nodes are dealt and sorted, and a task reads them in turn."""
+def _compare(parts: list[DataFrame], reps: DataFrame) -> DataFrame:
+    """Candidate links inside the nodes (or chunks of nodes) of all ``parts`` (``node, chunk, rep``), which are of bounded size; they are dealt and sorted, and a task reads them in turn."""
+    key = ["node", "chunk"]
 
     def walk(batches):
         held = None
@@ -213,6 +218,9 @@ def _compare(members: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
         if held is not None and len(held):
             yield _compare_nodes(held, key)
 
+    members = parts[0]
+    for part in parts[1:]:
+        members = members.unionByName(part)
     dealt = members.join(reps.select("rep", "bits"), "rep").select(*key, "rep", "bits")
     return dealt.repartition(*key).sortWithinPartitions(*key, "rep").mapInPandas(walk, "a long, b long")
 
@@ -220,30 +228,34 @@ def _compare(members: DataFrame, reps: DataFrame, key: list[str]) -> DataFrame:
 def candidate_links(reps: DataFrame, trees: int) -> DataFrame:
     """Links ``a, b`` whose connected groups hold every pair that some node finds alike enough (``rep, lows, bits``)."""
     links = labels = None
+    parts: list[DataFrame] = []  # nodes to compare, of all levels so far
     members = keep(_first_level(reps, trees), "nodes-1")
     for depth in range(1, LAST + 1):
         sizes = keep(members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), f"sizes-{depth}")
-        found = _compare(members.join(sizes.where(f"size <= {LEAF}"), "node"), reps, ["node"])
-        links = found if links is None else links.unionByName(found)
+        parts.append(members.join(sizes.where(f"size <= {LEAF}"), "node").select("node", F.lit(0).cast("long").alias("chunk"), "rep"))
         big = sizes.where(f"size > {LEAF}")
-        if big.isEmpty():
-            return links
-        members = members.join(big, "node")
+        n_big = big.count()
+        if not n_big:
+            break
+        members = members.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, "node")
         if depth < DEEPEST:
             members = keep(_next_level(members, reps), f"nodes-{depth + 1}")
             continue
         if labels is None:
-            links = keep(links.unionByName(_compare(_sampled(members), reps, ["node", "chunk"])), "near")
-            labels = components(links).withColumnRenamed("node", "rep")
+            links = keep(_compare([*parts, _sampled(members)], reps), "near")
+            parts, labels = [], components(links).withColumnRenamed("node", "rep")
         members = keep(members.join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep")), f"big-{depth}")
         main = members.groupBy("node", "label").agg(F.count(F.lit(1)).alias("_n")).groupBy("node").agg(F.max(F.struct("_n", "label")).alias("main"))
-        members = members.join(keep(main.select("node", F.col("main._n").alias("most"), F.col("main.label").alias("main")), f"main-{depth}"), "node").withColumn("others", F.col("size") - F.col("most"))
-        links = links.unionByName(_compare(_with_others(members.where(f"others between 1 and {LEAF}")), reps, ["node", "chunk"]))
+        main = keep(main.select("node", F.col("main._n").alias("most"), F.col("main.label").alias("main")), f"main-{depth}")
+        members = members.join(F.broadcast(main) if n_big <= BROADCAST_ROWS else main, "node").withColumn("others", F.col("size") - F.col("most"))
+        parts.append(_with_others(members.where(f"others between 1 and {LEAF}")))
         members = members.where(f"others > {LEAF}")
         if depth == LAST:
-            return links.unionByName(_compare(_all_pairs(members), reps, ["node", "low", "high"]))
+            parts.append(_all_pairs(members))
+            break
         members = keep(_deeper_level(members, reps, depth), f"nodes-{depth + 1}")
-    return links
+    found = _compare(parts, reps)
+    return found if links is None else links.unionByName(found)
 
 
 def _sampled(members: DataFrame) -> DataFrame:
@@ -265,17 +277,17 @@ def _all_pairs(members: DataFrame) -> DataFrame:
     """Every pair of chunks of each node."""
     held = members.withColumn("chunks", F.ceil(F.col("size") / CHUNK))
     held = held.select("node", "rep", F.pmod(F.xxhash64("node", "rep"), "chunks").alias("_own"), _up_to("chunks").alias("_other"))
-    return held.select("node", "rep", F.least("_own", "_other").alias("low"), F.greatest("_own", "_other").alias("high"))
+    pair = F.least("_own", "_other") * F.lit(1 << 31) + F.greatest("_own", "_other")
+    return held.select("node", "rep", pair.alias("chunk"))
 
 
 def _up_to(chunks: str):
     return F.explode(F.sequence(F.lit(0).cast("long"), F.col(chunks) - 1))
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy("node").orderBy(F.xxhash64(F.lit("pivot"), "rep"), "rep")
+def _by_hash(group: str = "node"):
+    """A fixed order inside groups, of which only the first few are ever taken (so each task gives only its first few)."""
+    return Window.partitionBy(group).orderBy(F.xxhash64(F.lit("pivot"), "rep"), "rep")
 
 
 def link_sets(reps: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int) -> tuple[list[int], list[int]]:
@@ -310,23 +322,49 @@ def link_sets(reps: np.ndarray, sets: list[np.ndarray], numerator: int, denomina
 
 def exact_links(groups: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """Links ``a, b`` on full sets inside each candidate group (``rep, label, n_shingles, text``)."""
-    size = groups.groupBy("label").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_s"))
-    blocks = F.greatest(F.ceil(F.col("_s") * 2 / TASK_SHINGLES), F.ceil(F.col("_n") * 2 / TASK_DOCUMENTS))
-    size = size.select("label", F.when((F.col("_s") <= TASK_SHINGLES) & (F.col("_n") <= TASK_DOCUMENTS), 1).otherwise(blocks).cast("long").alias("_blocks"))
 
     @F.pandas_udf("binary")
     def sets_of(texts: pd.Series) -> pd.Series:
         return pd.Series([s.tobytes() for s in shingle_sets(pa.array(texts, type=pa.string()))], dtype=object)
 
     def link(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.drop_duplicates("rep")
         a, b = link_sets(rows["rep"].to_numpy(), [np.frombuffer(s, dtype=np.uint64) for s in rows["shingles"]], numerator, denominator)
         return pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": np.array(b, dtype=np.int64)})
 
-    dealt = groups.join(size, "label").withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_blocks")))
-    dealt = dealt.select("label", "rep", "_own", "_blocks", sets_of("text").alias("shingles"))
-    dealt = dealt.withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
-    dealt = dealt.withColumns({"_low": F.least("_own", "_other"), "_high": F.greatest("_own", "_other")})
-    return dealt.groupBy("label", "_low", "_high").applyInPandas(link, "a long, b long")
+    def linked(rows: DataFrame, *key: str) -> DataFrame:
+        return rows.groupBy(*key).applyInPandas(link, "a long, b long")
+
+    count, shingles = F.count(F.lit(1)), F.sum("n_shingles")
+    size = groups.groupBy("label").agg(count.alias("_n"), shingles.alias("_s"))
+    size = size.select("label", F.when((F.col("_s") <= TASK_SHINGLES) & (F.col("_n") <= TASK_DOCUMENTS), 1).otherwise(_blocks("_n", "_s")).alias("_blocks"))
+    dealt = groups.join(size, "label")
+    links = linked(dealt.where("_blocks = 1").select("label", "rep", sets_of("text").alias("shingles")), "label")
+    large = dealt.where("_blocks > 1")
+    if large.isEmpty():
+        return links
+    large = keep(large.select("label", "rep", "n_shingles", "_blocks", sets_of("text").alias("shingles")), "large-groups")
+    chunk = F.pmod(F.xxhash64("rep"), F.col("_blocks"))
+    pivots = large.select("label", "rep", "_blocks").withColumn("_n", F.row_number().over(_by_hash("label"))).where(f"_n <= {PIVOTS}")
+    pivots = pivots.select("label", "rep", _up_to("_blocks").alias("_chunk")).join(large.select("rep", "shingles"), "rep").select("label", "rep", "_chunk", "shingles")
+    near = keep(linked(large.select("label", "rep", chunk.alias("_chunk"), "shingles").unionByName(pivots), "label", "_chunk"), "large-near")
+    parts = large.join(components(near).withColumnsRenamed({"node": "rep", "label": "_part"}), "rep", "left").withColumn("_part", F.coalesce("_part", "rep"))
+    sizes = keep(parts.groupBy("label", "_part").agg(count.alias("_n"), shingles.alias("_s")), "large-parts")
+    main = sizes.groupBy("label").agg(F.max(F.struct("_n", "_part", "_s")).alias("_main"), F.sum("_n").alias("_n"), F.sum("_s").alias("_s"))
+    n, s = F.col("_n") - F.col("_main._n"), F.col("_s") - F.col("_main._s")
+    main = main.where(n > 0).withColumns({"_n": n, "_s": s})
+    main = main.select("label", F.col("_main._part").alias("_largest"), _blocks("_main._n", "_main._s").alias("_mains"), _blocks("_n", "_s").alias("_others"))
+    placed = parts.join(main, "label").withColumn("_outside", F.col("_part") != F.col("_largest"))
+    # blocks 0.._others-1 hold the members outside the largest part, the blocks after them that part; pairs of two of the latter are not needed
+    placed = placed.withColumn("_own", F.when("_outside", F.pmod(F.xxhash64("rep"), F.col("_others"))).otherwise(F.col("_others") + F.pmod(F.xxhash64("rep"), F.col("_mains"))))
+    last = F.when("_outside", F.col("_others") + F.col("_mains")).otherwise(F.col("_others")) - 1
+    placed = placed.select("label", "rep", "_own", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_other"))
+    return links.unionByName(near).unionByName(linked(placed.select("label", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "rep", "shingles"), "label", "_low", "_high"))
+
+
+def _blocks(n: str, s: str):
+    """Blocks of which two fit a task, for ``n`` documents of ``s`` shingles."""
+    return F.greatest(F.lit(1), F.ceil(F.col(s) * 2 / TASK_SHINGLES), F.ceil(F.col(n) * 2 / TASK_DOCUMENTS)).cast("long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", numerator: int = 75, denominator: int = 100, recall: float = 0.9999) -> DataFrame:
@@ -343,7 +381,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
         return signatures(pa.array(texts, type=pa.string()))[fields]
 
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    signed_rows = keep(rows.select("doc_id", F.xxhash64("text").alias("th"), signed("text").alias("_s")).select("doc_id", "th", "_s.*"), "signatures")
+    text_hash = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit("second"), "text").alias("y"))
+    signed_rows = keep(rows.select("doc_id", text_hash.alias("th"), signed("text").alias("_s")).select("doc_id", "th", "_s.*"), "signatures")
     reps = signed_rows.where("n_shingles > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("doc_id"), F.min("th").alias("th"), F.first("n_shingles").alias("n_shingles"), F.first("lows").alias("lows"), F.first("bits").alias("bits")
     )
@@ -351,7 +390,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", nu
     groups = components(candidate_links(reps, trees_for(recall, numerator / denominator)))
     wanted = keep(reps.select("rep", "th", "n_shingles").join(groups.withColumnRenamed("node", "rep"), "rep"), "candidates")
     small = wanted.count() <= BROADCAST_ROWS
-    picked = rows.select("text", F.xxhash64("text").alias("th")).join(F.broadcast(wanted) if small else wanted, "th")
+    picked = rows.select("text", text_hash.alias("th")).join(F.broadcast(wanted) if small else wanted, "th")
     picked = picked.groupBy("rep").agg(F.first("label").alias("label"), F.first("n_shingles").alias("n_shingles"), F.first("text").alias("text"))
     labels = components(exact_links(keep(picked, "texts"), numerator, denominator))
     placed = reps.select("h1", "h2", "rep", "doc_id").join(labels.withColumnRenamed("node", "rep"), "rep", "left")
