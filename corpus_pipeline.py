@@ -29,32 +29,47 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the string-kernel machine does not call toxic (a null or empty text stays)."""
+    """The documents that the string-kernel machine does not call toxic (a null or empty text stays).
+
+    Without labels of both classes there is no machine, and all documents stay. Repeated rows
+    go or stay together; other columns pass through whatever their names are.
+    """
     ship(spark)
     model = fit_toxicity(docs, _labels(spark, sf_dir), remainder("doc_id", 4) != 2)
-    return docs.where(toxicity_score(model) < TOXIC)
+    return docs if model.calibrate is None else docs.where(toxicity_score(model) < TOXIC)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the compression classifier calls good (a null or empty text gets the share of good labels)."""
+    """The documents that the compression classifier calls good (a null or empty text gets the share of good labels).
+
+    Without labels of both classes there is no classifier, and all documents stay. Repeated
+    rows go or stay together; other columns pass through whatever their names are.
+    """
     ship(spark)
     model = fit_quality(docs, _labels(spark, sf_dir), remainder("doc_id", 5) != 0)
-    return docs.where(quality_score(model) >= GOOD)
+    return docs if model.calibrate is None else docs.where(quality_score(model) >= GOOD)
 
 
 def near_duplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group: that of the smallest id, of repeated rows one; null ids come last."""
+    """One document of each near-duplicate group: that of the smallest id, of repeated rows one; null ids come last.
+
+    Documents without words stay, each of them. Other columns pass through whatever their names are.
+    """
     ship(spark)
-    numbered = keep(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    key = F.struct(F.col("doc_id").isNull().alias("none"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("id"), F.col("_row").alias("row"))
-    judged = near_duplicates(numbered.select(key.alias("_key"), "text"), key="_key")
-    dropped = keep(judged.where(~F.col("kept")).select(F.col("_key.row").alias("_row")), "dropped")
+    numbered = keep(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")), "numbered")
+    key = F.struct(F.col("doc.doc_id").isNull().alias("none"), F.coalesce(F.col("doc.doc_id"), F.lit(0)).alias("id"), "row")
+    judged = near_duplicates(numbered.select(key.alias("key"), F.col("doc.text").alias("text")), key="key")
+    dropped = keep(judged.where(~F.col("kept")).select("key.row"), "dropped")
     small = dropped.count() <= BROADCAST_ROWS
-    return numbered.join(F.broadcast(dropped) if small else dropped, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(F.broadcast(dropped) if small else dropped, "row", "left_anti").select("doc.*")
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with every secret cut out of the text, and their length in characters."""
+    """The documents with every secret cut out of the text, and their length in characters.
+
+    No row goes. A null or empty text stays as it is; repeated rows are cut alike; other
+    columns pass through whatever their names are.
+    """
     out = redact(docs)
     if "n_chars" in docs.columns:
         changed = F.coalesce(F.char_length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType)
@@ -63,7 +78,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' pieces in sequences of 4096 tokens."""
+    """The documents' pieces in sequences of 4096 tokens.
+
+    A null or empty text is a piece of the end token alone; repeated rows and rows without
+    an id are packed each on their own; columns other than id and text are not read.
+    """
     import public_tokenizers
 
     ship(spark)
