@@ -21,6 +21,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -38,7 +39,7 @@ GROUP, FAN_IN = 20_000, 8
 #: A round must save this share of the underfull bins for another to follow.
 GAIN = 0.02
 #: Characters of text that are encoded together, and words that a worker remembers.
-STRETCH, REMEMBERED = 3_000_000, 500_000
+STRETCH, REMEMBERED = 8_000_000, 500_000
 
 PIECES = "array<struct<piece:int,start:bigint,length:bigint,ids_crc32:bigint>>"
 
@@ -93,13 +94,16 @@ class BytePairs:
             open_at = open_at[~hit]
         return rank, made
 
-    def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of all words end to end, and how many each has."""
-        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        symbols = self.inner[np.frombuffer(b"".join(words), dtype=np.uint8)]
-        ends = np.cumsum(sizes)
-        raw_last = np.frombuffer(b"".join(w[-1:] for w in words), dtype=np.uint8)
-        symbols[ends - 1] = self.final[raw_last]
+    def encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words (not empty, without line ends) end to end, and how many each has."""
+        if not words:
+            return np.zeros(0, dtype=np.uint32), np.zeros(0, dtype=np.int64)
+        lines = np.frombuffer("\n".join(words).encode(), dtype=np.uint8)
+        between = lines == 10
+        sizes = np.diff(np.concatenate(([-1], np.flatnonzero(between), [len(lines)]))) - 1
+        raw, ends = lines[~between], np.cumsum(sizes)
+        symbols = self.inner[raw]
+        symbols[ends - 1] = self.final[raw[ends - 1]]
         word = np.repeat(np.arange(len(words)), sizes)
         done_symbols, done_words = [], []
         while len(symbols):
@@ -130,25 +134,27 @@ class WordEncoder:
 
     A text of plain letters, digits, punctuation and ASCII white space is encoded word
     by word from a bounded cache, which gives the same ids as the tokenizer because no
-    token of this vocabulary crosses white space. Any other text goes to the tokenizer
-    whole.
+    token of this vocabulary crosses white space. Any other text, and one that holds an
+    added token of the tokenizer (``<|endoftext|>``), goes to the tokenizer whole.
     """
 
-    # The tokenizer's own pre-token pattern (fixed value).
-    PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    # The tokenizer's own pre-token pattern (fixed value), with its letters and digits as the plain texts have them.
+    PRE_TOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+"
     ODD = re.compile("[^\t\n\x0b\x0c\r -~À-ÖØ-öø-ÿ]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        import regex
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as file:
             model = json.load(file)["model"]
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens must be looked for in the text as it is")
+        self.added = [t.content for t in added]
         self.pairs = BytePairs(model["vocab"], model["merges"], model["end_of_word_suffix"])
-        self.units = regex.compile(self.PRE_TOKEN).findall
+        self.units = re.compile(self.PRE_TOKEN).findall
         self.known: dict[str, bytes] = {}
 
     def _learn(self, words: set[str]) -> None:
@@ -158,17 +164,13 @@ class WordEncoder:
             missing = list(words)
         for k in range(0, len(missing), 50_000):
             part = missing[k : k + 50_000]
-            units, counts = [], []
-            for w in part:
-                found = [w] if w.isalpha() else self.units(w)
-                units += found
-                counts.append(len(found))
-            ids, sizes = self.pairs.encode([u.encode() for u in units])
-            stops = np.concatenate(([0], np.cumsum(sizes)))[np.cumsum(counts)] * 4 if part else []
-            raw, at = ids.astype("<u4").tobytes(), 0
-            for w, stop in zip(part, stops.tolist(), strict=True):
-                self.known[w] = raw[at:stop]
-                at = stop
+            whole, mixed = [w for w in part if w.isalpha()], [w for w in part if not w.isalpha()]
+            found = [self.units(w) for w in mixed]
+            ids, sizes = self.pairs.encode(whole + list(chain.from_iterable(found)))
+            last = np.cumsum(np.concatenate((np.ones(len(whole), dtype=np.int64), np.fromiter(map(len, found), dtype=np.int64, count=len(found)))))
+            stops = (np.concatenate(([0], np.cumsum(sizes)))[last] * 4).tolist()
+            raw = ids.astype("<u4").tobytes()
+            self.known.update(zip(whole + mixed, [raw[a:b] for a, b in zip([0, *stops], stops, strict=False)], strict=True))
 
     def plain(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -185,7 +187,7 @@ class WordEncoder:
         yield from self._stretch(held)
 
     def _stretch(self, texts: list[str]) -> Iterator[bytes]:
-        split = [None if self.ODD.search(t) else t.lower().split() for t in texts]
+        split = [None if any(a in t for a in self.added) or self.ODD.search(t) else t.lower().split() for t in texts]
         words: set[str] = set()
         for s in split:
             words.update(s or ())
