@@ -14,10 +14,8 @@ and all its occurrences are sampled together, array by array.
 
 A space is written as U+2581 and the text begins with one, as SentencePiece does; a
 U+2581 that stands in the text goes by its bytes, so decoding gives back every text.
-Pieces of a byte-pair model have merge ranks for scores; their weights are taken as
-1 / (rank + 2).
-
-A text that holds U+E000, the stand-in for that, is encoded in bytes throughout.
+Until then a lone surrogate stands for it, which no UTF-8 text can hold. Pieces of a
+byte-pair model have merge ranks for scores; their weights are taken as 1 / (rank + 2).
 
 Defined results: a null or empty text has no piece and decodes to the empty string.
 Rows with equal key and text get equal samples. A null key counts as an empty one.
@@ -37,14 +35,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.words import U64, mix
+from tessera.llm.words import Lookup, U64, mix
 
 SPACE = "▁"
 #: Characters of text whose words share a lattice table.
 STRETCH = 1_000_000
 WORDS = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Stands for a U+2581 of the text itself while a space is written as one.
-LITERAL = "\ue000"
+#: Stands for a U+2581 of the text itself while a space is written as one: a lone surrogate, which no text holds.
+LITERAL = "\ud8ff"
 
 
 class Pieces:
@@ -83,16 +81,13 @@ class Pieces:
                 node = trie[step]
             piece_at[node] = k
         keys = np.array([n << 21 | c for n, c in trie], dtype=np.int64)
-        order = np.argsort(keys)
-        self.steps, self.nexts = keys[order], np.fromiter(trie.values(), dtype=np.int64)[order]
+        self.step = Lookup(keys, np.fromiter(trie.values(), dtype=np.int64, count=len(trie)))
         self.piece_at = np.array(piece_at, dtype=np.int64)
         self.weights = alpha * weights
 
     def follow(self, nodes: np.ndarray, points: np.ndarray) -> np.ndarray:
         """The trie's next nodes, or -1."""
-        keys = nodes << 21 | points
-        at = np.minimum(np.searchsorted(self.steps, keys), len(self.steps) - 1)
-        return np.where(self.steps[at] == keys, self.nexts[at], -1)
+        return self.step(nodes << 21 | points)
 
     def decode(self, ids: Iterable[int]) -> str:
         """The text of a sequence of ids."""
@@ -104,7 +99,7 @@ class Lattice:
 
     def __init__(self, pieces: Pieces, words: list[str]):
         sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        points = np.frombuffer("".join(words).encode("utf-32-le"), dtype=np.uint32).astype(np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
         ends = np.cumsum(sizes)
         stop = np.repeat(ends, sizes)
         word = np.repeat(np.arange(len(words)), sizes)
@@ -135,7 +130,7 @@ class Lattice:
         spelled = np.empty(len(bare), dtype=np.int64)
         for k, p in enumerate(points[bare].tolist()):
             if p not in numbers:
-                raw = (SPACE if p == ord(LITERAL) else chr(p)).encode("utf-8", "surrogatepass")
+                raw = (SPACE if p == ord(LITERAL) else chr(p)).encode()
                 numbers[p] = len(self.by_bytes)
                 self.by_bytes.append(np.array([pieces.bytes[b] for b in raw], dtype=np.int64))
             spelled[k] = -1 - numbers[p]
@@ -173,6 +168,8 @@ class Lattice:
         if len(target):
             within[np.append(first[1:], len(target)) - 1] = 1.0
         self.key = target + within
+        self.last = np.cumsum(np.bincount(target, minlength=len(mass))) - 1
+        self.first = np.concatenate(([0], self.last[:-1] + 1)) if len(mass) else self.last
 
     def sample(self, words: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """One segmentation for each occurrence of a word: the ids of all end to end, and how many each has."""
@@ -180,8 +177,11 @@ class Lattice:
         arcs, owners, step = [], [], 0
         while len(who):
             draw = (mix(seeds[who] + U64((step + 1) * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) >> U64(11)).astype(np.float64) * 2.0**-53
-            arc = np.searchsorted(self.key, at + draw, side="right")
-            arc = np.minimum(arc, len(self.key) - 1)
+            arc, wanted, last = self.first[at], at + draw, self.last[at]
+            passed = np.arange(len(at))
+            while len(passed):  # on to the first arc above the draw, never past the node's last one
+                passed = passed[(self.key[arc[passed]] <= wanted[passed]) & (arc[passed] < last[passed])]
+                arc[passed] += 1
             arcs.append(arc)
             owners.append(who)
             at = self.source[arc]
@@ -222,11 +222,6 @@ def sample_ids(pieces: Pieces, texts: Iterable[str], seeds: Iterable[int]) -> It
     held: list[tuple[list[str], int]] = []
     size = 0
     for text, seed in zip(texts, seeds, strict=True):
-        if LITERAL in text:  # the stand-in itself occurs: such a text goes by its bytes
-            yield from _stretch(pieces, held)
-            held, size = [], 0
-            yield np.array([pieces.bytes[b] for b in (" " + text).encode()], dtype=np.int64)
-            continue
         words = written(text)
         held.append((words, seed))
         size += len(text)

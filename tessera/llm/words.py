@@ -33,6 +33,38 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> U64(31))
 
 
+class Lookup:
+    """Values of distinct 64-bit keys, looked up for whole arrays at once (open addressing, half full at most)."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        self.shift = U64(64 - max(4, int(np.ceil(np.log2(max(1, len(keys)) * 2)))))
+        self.slots = np.full(1 << int(U64(64) - self.shift), -1, dtype=np.int64)
+        self.values = np.full(len(self.slots), -1, dtype=np.int64)
+        self.probes, todo = 0, np.arange(len(keys))
+        while len(todo):  # each key goes to the first free slot of its probes
+            at = self._slot(keys[todo], self.probes)
+            _, first = np.unique(at, return_index=True)
+            first = first[self.slots[at[first]] < 0]
+            self.slots[at[first]], self.values[at[first]] = keys[todo[first]], values[todo[first]]
+            todo, self.probes = np.delete(todo, first), self.probes + 1
+
+    def _slot(self, keys: np.ndarray, probe: int) -> np.ndarray:
+        return ((keys.astype(U64) * _BASE >> self.shift).astype(np.int64) + probe) & (len(self.slots) - 1)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The value of each key (keys are 0 or more), -1 where there is none."""
+        out, todo = np.full(len(keys), -1, dtype=np.int64), np.arange(len(keys))
+        for probe in range(self.probes):
+            at = self._slot(keys[todo], probe)
+            held = self.slots[at]
+            hit = held == keys[todo]
+            out[todo[hit]] = self.values[at[hit]]
+            todo = todo[~hit & (held >= 0)]
+            if not len(todo):
+                break
+        return out
+
+
 def flat_utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows end to end, and the offsets of the rows (null: empty)."""
     if isinstance(column, pa.ChunkedArray):
