@@ -1,19 +1,22 @@
 """Exact top-k inner products over norm-sorted blocks, with SVD-rotated partial sums.
 
 Vectors become whole numbers floor(256 x). All of them are range-dealt into blocks by
-descending length; queries are dealt into blocks of bounded size. A first pass over the
-longest vectors gives each query a score that its k-th neighbour reaches at least, and
-a query skips every block whose length bound |q| |c| stays below it. Inside a block the
-vectors go by in slices of descending length: the inner product over the leading
-coordinates of an SVD rotation, plus the product of what is left of both lengths
-(Cauchy-Schwarz), bounds each score from above, and only pairs that can still reach the
-k-th score get their exact integer product.
+descending length and written in that order. Queries go in blocks of bounded size, each
+sent to the tasks that read the vectors, which themselves are never shuffled again. A
+first pass over the block of the longest vectors gives each query a score that its k-th
+neighbour reaches at least; the other blocks are then read from that score on. Vectors go
+by in slices of descending length: a query passes over a slice whose length bound |q| |c|
+stays below its k-th score so far; else the inner product over the leading coordinates of
+an SVD rotation, plus the product of what is left of both lengths (Cauchy-Schwarz),
+bounds each score from above, and only pairs that can still reach the k-th score get
+their exact integer product. A task gives at most k rows a query.
 
 Defined results: vectors that are null or hold null or non-finite components, and rows
 without an id, take no part. Shorter vectors count as padded with zeros. A query never
 finds rows with its own id; repeated query rows are queries each. Ties go to the smaller
-id, repeated candidates stand as often as they occur. Scores must fit 64 bits. An empty
-table, or one without queries, gives an empty result.
+id, repeated candidates stand as often as they occur. Components and scores beyond 64
+bits count as the nearest 64-bit number. An empty table, or one without queries, gives
+an empty result. Columns other than key and vector are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 from tessera.llm.store import keep, tasks
 
 SCALE = 256.0
-#: Candidates and queries that one task holds, and the slice of candidates that is bounded at once.
-BLOCK, LEAST_BLOCK, QUERY_BLOCK, SLICE = 32_768, 4_096, 2_048, 2_048
+#: Vectors of a block, numbers of the queries that are sent to every task at once (64 MB), and the slice of vectors that is bounded at once.
+BLOCK, LEAST_BLOCK, QUERY_NUMBERS, SLICE = 32_768, 4_096, 8 << 20, 2_048
 #: Share of the squared length that the leading coordinates must hold.
 LEADING = 0.72
 
@@ -41,14 +44,18 @@ def whole_vectors(rows: DataFrame, key: str, vector: str) -> DataFrame:
 
 
 def _matrix(column: pd.Series, width: int) -> np.ndarray:
+    """Rows of numbers as a matrix, padded with zeros."""
+    sizes = np.fromiter(map(len, column), dtype=np.int64, count=len(column))
+    flat = np.concatenate(column.to_list()) if len(column) else np.zeros(0)
+    if (sizes == width).all():
+        return flat.reshape(len(column), width)
     out = np.zeros((len(column), width))
-    for k, v in enumerate(column):
-        out[k, : len(v)] = v
+    out[np.arange(width) < sizes[:, None]] = flat
     return out
 
 
-def rotation(vectors: DataFrame, width: int) -> np.ndarray:
-    """The right singular vectors of all rows, by descending singular value, from partial Gram matrices."""
+def rotation(vectors: DataFrame, width: int) -> tuple[np.ndarray, int]:
+    """The right singular vectors of all rows by descending singular value, from partial Gram matrices, and how many of them lead."""
 
     def gram(batches):
         total = np.zeros((width, width))
@@ -62,7 +69,9 @@ def rotation(vectors: DataFrame, width: int) -> np.ndarray:
     total = np.zeros((width, width))
     for r in rows:
         total[r["i"], r["j"]] = r["g"]
-    return np.linalg.eigh((total + total.T) / 2)[1][:, ::-1]
+    values, turn = np.linalg.eigh((total + total.T) / 2)
+    energy = np.cumsum(np.maximum(values[::-1], 0))
+    return turn[:, ::-1], int(min(width, np.searchsorted(energy, LEADING * energy[-1]) + 1))
 
 
 def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -71,46 +80,51 @@ def exact_products(left: np.ndarray, right: np.ndarray) -> np.ndarray:
         return np.zeros(0, dtype=np.int64)
     if np.abs(left).max(initial=0) * np.abs(right).max(initial=0) * left.shape[1] < 2**53:
         return np.einsum("ij,ij->i", left, right).astype(np.int64)
-    return np.array([sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(left, right, strict=True)], dtype=np.int64)
-
-
-def search_block(queries: tuple[np.ndarray, np.ndarray, np.ndarray], ids: np.ndarray, vectors: np.ndarray, turn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best of a block for each query: query row, id, score. ``queries``: ids, vectors and the scores to reach."""
-    q_ids, q, floor = queries
-    lengths = np.linalg.norm(vectors, axis=1)
-    order = np.argsort(-lengths, kind="stable")
-    ids, vectors, lengths = ids[order], vectors[order], lengths[order]
-    q_lengths = np.linalg.norm(q, axis=1)
-    q_turned, turned = q @ turn, vectors @ turn
-    energy = np.cumsum((turned**2).sum(0)) / max((turned**2).sum(), 1e-300)
-    lead = int(min(turned.shape[1], np.searchsorted(energy, LEADING) + 1))
-    rest = np.sqrt(np.maximum((turned[:, lead:] ** 2).sum(1), 0))
-    q_rest = np.sqrt(np.maximum((q_turned[:, lead:] ** 2).sum(1), 0))
-    floor = floor.copy()
-    best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
-    for top in range(0, len(ids), SLICE):
-        part = slice(top, top + SLICE)
-        slack = 1e-9 * (1 + q_lengths * lengths[top]) + 1e-6
-        live = np.flatnonzero(q_lengths * lengths[top] + slack >= floor)
-        if not len(live):
-            break
-        for block in np.array_split(live, -(-len(live) // 512)):
-            bound = q_turned[block, :lead] @ turned[part, :lead].T
-            bound += q_rest[block][:, None] * rest[part]
-            bound += slack[block][:, None]
-            i, j = np.nonzero(bound >= floor[block][:, None])
-            i, j = block[i], j + top
-            other = q_ids[i] != ids[j]
-            i, j = i[other], j[other]
-            if not len(i):
-                continue
-            scores = np.concatenate([exact_products(q[i[a : a + 50_000]], vectors[j[a : a + 50_000]]) for a in range(0, len(i), 50_000)])
-            best = _best(np.concatenate((best[0], i)), np.concatenate((best[1], ids[j])), np.concatenate((best[2], scores)), k)
-            held = np.bincount(best[0], minlength=len(q))
-            last = np.cumsum(held) - 1
-            full = held >= k
-            floor[full] = np.maximum(floor[full], best[2][last[full]])
-    return best
+    sums = (sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for x, y in zip(left, right, strict=True))
+    return np.array([min(max(s, -(2**63)), 2**63 - 1) for s in sums], dtype=np.int64)
+
+
+class Search:
+    """The k best vectors of each query so far, over slices of vectors in any order (descending lengths prune most)."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, floor: np.ndarray, turn: np.ndarray, lead: int, k: int):
+        self.ids, self.q, self.floor, self.turn, self.lead, self.k = ids, vectors, floor.copy(), turn, lead, k
+        self.lengths = np.linalg.norm(vectors, axis=1)
+        turned = vectors @ turn
+        self.leading, self.rest = np.ascontiguousarray(turned[:, :lead]), np.linalg.norm(turned[:, lead:], axis=1)
+        self.best = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))
+
+    def add(self, ids: np.ndarray, vectors: np.ndarray) -> None:
+        lengths = np.linalg.norm(vectors, axis=1)
+        order = np.argsort(-lengths, kind="stable")
+        for top in range(0, len(ids), SLICE):
+            part = order[top : top + SLICE]
+            slack = 1e-9 * (1 + self.lengths * lengths[part[0]]) + 1e-6
+            live = np.flatnonzero(self.lengths * lengths[part[0]] + slack >= self.floor)
+            if not len(live):
+                return
+            turned = vectors[part] @ self.turn
+            leading, rest = turned[:, : self.lead].T, np.linalg.norm(turned[:, self.lead :], axis=1)
+            for block in np.array_split(live, -(-len(live) // 512)):
+                bound = self.leading[block] @ leading
+                bound += self.rest[block][:, None] * rest
+                bound += slack[block][:, None]
+                i, j = np.nonzero(bound >= self.floor[block][:, None])
+                self._score(block[i], part[j], ids, vectors)
+
+    def _score(self, i: np.ndarray, j: np.ndarray, ids: np.ndarray, vectors: np.ndarray) -> None:
+        other = self.ids[i] != ids[j]
+        i, j = i[other], j[other]
+        if not len(i):
+            return
+        scores = np.concatenate([exact_products(self.q[i[a : a + 50_000]], vectors[j[a : a + 50_000]]) for a in range(0, len(i), 50_000)])
+        inside = np.isin(self.best[0], i)
+        held = tuple(b[~inside] for b in self.best)
+        best = _best(np.concatenate((self.best[0][inside], i)), np.concatenate((self.best[1][inside], ids[j])), np.concatenate((self.best[2][inside], scores)), self.k)
+        query, first, n = np.unique(best[0], return_index=True, return_counts=True)
+        full = n >= self.k
+        self.floor[query[full]] = np.maximum(self.floor[query[full]], best[2][(first + n - 1)[full]])
+        self.best = tuple(np.concatenate((x, y)) for x, y in zip(held, best, strict=True))
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -121,19 +135,22 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
     return query[use], ids[use], scores[use]
 
 
-def _search(queries: DataFrame, candidates: DataFrame, turn: np.ndarray, k: int) -> DataFrame:
-    """Top-k rows for each query row and block, for ``queries`` (qb, block, q_row, id, v, floor) and ``candidates`` (block, qb, id, v)."""
-    width = len(turn)
+def _search(queries: tuple[np.ndarray, np.ndarray, np.ndarray], floor: np.ndarray, vectors: DataFrame, turned: tuple[np.ndarray, int], k: int) -> DataFrame:
+    """At most k rows for each query and task: ``q_row, query_id, vec_id, score``. ``queries``: row numbers, ids, vectors."""
+    held = vectors.sparkSession.sparkContext.broadcast((queries, floor, turned))
 
-    def search(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        empty = pd.DataFrame({"q_row": [], "query_id": [], "vec_id": [], "score": []}).astype("int64")
-        if not len(left) or not len(right):
-            return empty
-        floor = left["floor"].fillna(-np.inf).to_numpy(dtype=float)
-        who, ids, scores = search_block((left["id"].to_numpy(), _matrix(left["v"], width), floor), right["id"].to_numpy(), _matrix(right["v"], width), turn, k)
-        return pd.DataFrame({"q_row": left["q_row"].to_numpy()[who], "query_id": left["id"].to_numpy()[who], "vec_id": ids, "score": scores})
+    def search(batches):
+        (q_rows, q_ids, q), least, (turn, lead) = held.value
+        found = None
+        for rows in batches:
+            if len(rows):
+                found = found or Search(q_ids, q, least, turn, lead, k)
+                found.add(rows["id"].to_numpy(), _matrix(rows["v"], len(turn)))
+        if found is not None:
+            who, ids, scores = found.best
+            yield pd.DataFrame({"q_row": q_rows[who], "query_id": q_ids[who], "vec_id": ids, "score": scores})
 
-    return queries.groupBy("qb", "block").cogroup(candidates.groupBy("qb", "block")).applyInPandas(search, "q_row long, query_id long, vec_id long, score long")
+    return vectors.select("id", "v").mapInPandas(search, "q_row long, query_id long, vec_id long, score long")
 
 
 def top_products(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -144,28 +161,30 @@ def top_products(rows: DataFrame, is_query: Column, k: int = 5, key: str = "vec_
     spark = rows.sparkSession
     vectors = whole_vectors(rows, key, vector).withColumn("length", F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)))
     count, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    width = max(1, width or 0)
     blocks = max(1, -(-count // BLOCK), min(tasks(spark), count // LEAST_BLOCK))
     dealt = vectors.repartitionByRange(blocks, F.col("length").desc(), F.xxhash64("id"), F.monotonically_increasing_id())
-    vectors = keep(dealt.withColumn("block", F.spark_partition_id().cast("long")), "vectors")
-    turn = rotation(vectors, max(1, width or 0))
-    asked = vectors.where(is_query)
+    vectors = keep(dealt.withColumn("block", F.spark_partition_id().cast("long")).sortWithinPartitions(F.col("length").desc()), "vectors")
+    turned = rotation(vectors, width)
+    asked = vectors.where(is_query).select("id", "v")
     n_queries = asked.count()
-    parts = max(1, -(-n_queries // QUERY_BLOCK))
-    asked = asked.select(F.monotonically_increasing_id().alias("q_row"), "id", "v", "length")
-    asked = keep(asked.withColumn("qb", F.pmod(F.xxhash64("id"), F.lit(parts))), "queries")
-    first, spans = vectors.agg(F.min("block")).first()[0] or 0, keep(vectors.groupBy("block").agg(F.max("length").alias("longest")), "blocks")
-    to_all = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("qb")
-    candidates = vectors.select("block", "id", "v", to_all)
-    start = asked.select("q_row", "id", "v", "qb", F.lit(first).cast("long").alias("block"), F.lit(None).cast("double").alias("floor"))
-    opening = keep(_search(start, candidates.where(F.col("block") == first), turn, k), "opening")
-    reached = opening.groupBy("q_row").agg(F.count(F.lit(1)).alias("n"), F.min("score").alias("least")).where(F.col("n") >= k)
-    reached = asked.join(reached, "q_row", "left").select("q_row", "id", "v", "qb", "length", F.col("least").cast("double").alias("floor"))
-    others = spans.where(F.col("block") != first).select("block", "longest", to_all)
-    wide = reached.join(others, "qb").where(F.col("floor").isNull() | (F.col("length") * F.col("longest") * (1 + 1e-9) + 1e-6 >= F.col("floor")))
-    later = _search(wide.select("q_row", "id", "v", "qb", "block", "floor"), candidates.where(F.col("block") != first), turn, k)
-    opening = opening.unionByName(later)
+    parts = max(1, -(-n_queries * width // QUERY_NUMBERS))
+    asked = keep(asked.withColumn("q_row", F.monotonically_increasing_id()).withColumn("qb", F.pmod(F.xxhash64("q_row"), F.lit(parts))), "queries")
+    first = vectors.agg(F.min("block")).first()[0] or 0
+    longest, others = vectors.where(F.col("block") == first).repartition(tasks(spark)), vectors.where(F.col("block") != first)
+    found = None
+    for part in range(parts):  # a block of queries of bounded size
+        table = asked.where(F.col("qb") == part).select("q_row", "id", "v").toArrow()
+        queries = (table["q_row"].to_numpy(), table["id"].to_numpy(), _matrix(table["v"].to_pandas(), width))
+        opening = keep(_search(queries, np.full(len(queries[0]), -np.inf), longest, turned, k), "opening")
+        order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("vec_id"))
+        opening = opening.withColumn("n", F.row_number().over(order)).where(F.col("n") <= k)
+        reached = opening.where(F.col("n") == k).select("q_row", "score").toArrow()
+        floor = pd.Series(reached["score"].to_numpy().astype(float), index=reached["q_row"].to_numpy()).reindex(queries[0], fill_value=-np.inf).to_numpy()
+        both = opening.drop("n").unionByName(_search(queries, floor, others, turned, k))
+        found = both if found is None else found.unionByName(both)
     order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), F.col("vec_id"))
-    ranked = opening.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
