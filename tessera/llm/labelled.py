@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,12 +12,13 @@ def remainder(key: str, modulus: int) -> Column:
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % modulus, F.lit(-1))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """At most ``per_class`` labelled documents of each class, chosen by a hash of their id: ``key, _text, _label``.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Column, per_class: int, class_bytes: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Whole labelled documents, at most ``per_class`` ids of each class, chosen by a hash of their id: ``key, _text, _label``.
 
-    The bound (rows of a class) is a parameter, so the broadcast of the chosen ids and
-    whatever is fitted on them stay as small at any size of the corpus. Ids with a null
-    label, or with both labels, are left out; of documents that share an id all are used.
+    Of these, in the order of the hash, as many are used as ``class_bytes`` of text hold.
+    Both bounds are parameters, so the broadcast of the chosen ids and whatever is fitted
+    on the texts stay as small at any size of the corpus. Ids with a null label, or with
+    both labels, are left out; of documents that share an id all are used.
     """
     known = labels.where(F.col(label).isin(0, 1) & F.col(key).isNotNull() & usable)
     known = known.groupBy(key).agg(F.min(label).alias("_label"), F.max(label).alias("_most")).where("_label = _most").drop("_most")
@@ -26,7 +27,11 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, usable: Colu
     for value in (0, 1):
         part = known.where(F.col("_label") == value).orderBy(order, key).limit(per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
-    return docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text")).join(F.broadcast(chosen), key)
+    texts = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    sizes = texts.select(key, F.octet_length("_text").alias("_size")).join(F.broadcast(chosen), key).groupBy(key, "_label").agg(F.sum("_size").alias("_size"))
+    upto = Window.partitionBy("_label").orderBy(order, key).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # per_class rows at most
+    fits = sizes.withColumn("_upto", F.sum("_size").over(upto)).where(F.col("_upto") <= class_bytes).select(key, "_label")
+    return texts.join(F.broadcast(fits), key)
 
 
 class Logistic:
@@ -42,15 +47,24 @@ class Logistic:
         self.mean, self.scale = rows.mean(0), rows.std(0) + 1e-9
         design = self._design(rows)
         self.weights = np.zeros(design.shape[1])
+        loss = self._loss(design, labels, self.weights, ridge)
         for _ in range(steps):
             p = self._sigmoid(design @ self.weights)
             slope = design.T @ (p - labels) / len(labels) + ridge * self.weights
             curve = (design * (p * (1 - p))[:, None]).T @ design / len(labels) + ridge * np.eye(len(slope))
-            change = np.linalg.solve(curve, slope)
-            self.weights -= change
-            if np.abs(change).max() < 1e-7:
+            change, stride = np.linalg.solve(curve, slope), 1.0
+            while (new := self._loss(design, labels, self.weights - stride * change, ridge)) > loss and stride > 1e-6:
+                stride /= 2  # a full step overshoots where classes are almost apart
+            self.weights -= stride * change
+            loss = new
+            if np.abs(stride * change).max() < 1e-7:
                 break
 
+    @staticmethod
+    def _loss(design: np.ndarray, labels: np.ndarray, weights: np.ndarray, ridge: float) -> float:
+        z = design @ weights
+        return float(np.mean(np.logaddexp(0, z) - labels * z) + ridge / 2 * (weights**2).sum())
+
     @staticmethod
     def _sigmoid(x: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(x, -40, 40)))

@@ -1,20 +1,21 @@
 """Quality scores by compression: how much shorter does a dictionary of good text make a document than one of bad text?
 
-Two Zstandard dictionaries are trained on excerpts of good and bad labelled documents.
-Every text is cut into blocks (all of it, not a prefix), each block is compressed with
-either dictionary, and the normalised differences of the compressed sizes, over the
-whole text and for its worst block, are calibrated to a probability by logistic
-regression.
+Two Zstandard dictionaries are trained on the whole texts of good and bad labelled
+documents. Every text is cut into short blocks (all of it, not a prefix), so that the
+dictionaries and not the text's own repeats decide, and each block is compressed with
+either dictionary. The score is calibrated, by logistic regression, from nothing but the
+normalised difference of the two compressed sizes: over the whole text, and its least,
+largest and typical spread over blocks. Lengths and compression ratios are no inputs.
 
 Defined results: a null or empty text has no block and gets the share of good labels
-among the texts it was fitted on; without labelled rows of both classes every score is
-that share, or 0.5 without any. Equal texts get equal scores, whatever their other
-columns hold. An empty table gives an empty result.
+among the usable labels; without labelled rows of both classes every score is that share,
+or 0.5 without any. Texts of any length are scored whole. Equal texts get equal scores,
+whatever their other columns hold or are named; repeated rows repeat them. Labels of a
+null id or of both classes are not learnt from. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -24,13 +25,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import Logistic, labelled_sample, remainder
+from tessera.llm.store import keep
 
-#: Bytes of a block; blocks bound memory and show junk that fills only a part of a long text.
-BLOCK = 16_384
-#: Bytes of the excerpt that a labelled document gives to its class's dictionary.
-EXCERPT = 4_096
-DICTIONARY = 112_640
-LEVEL = 3
+#: Bytes of a block, of a dictionary, and the level of compression.
+BLOCK, DICTIONARY, LEVEL = 256, 112_640, 3
+
+
+def blocks_of(text: str) -> list[bytes]:
+    """The whole text in stretches of ``BLOCK`` bytes."""
+    raw = text.encode()
+    return [raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK)]
 
 
 def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
@@ -52,15 +56,14 @@ class QualityModel:
         return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
 
     def features(self, text: str) -> tuple[float, ...]:
-        """Mean and least normalised difference of the blocks, and how far either dictionary shrinks the text."""
+        """The difference of the compressed sizes (bad - good) by their sum and by the plain size: of the whole text, and least, largest and spread of its blocks."""
         if "_pair" not in self.__dict__:
             self._pair = _compressor(self.good), _compressor(self.bad)
         by_good, by_bad = self._pair
-        raw = text.encode()
-        sizes = np.array([(len(by_good.compress(b)), len(by_bad.compress(b)), len(b) + 8) for b in (raw[k : k + BLOCK] for k in range(0, len(raw), BLOCK))], dtype=float)
-        good, bad, plain = sizes.sum(0)
-        each = (sizes[:, 1] - sizes[:, 0]) / sizes[:, 2]
-        return (bad - good) / plain, (bad - good) / (bad + good), good / plain, bad / plain, each.min(), (sizes[:, 0] / sizes[:, 2]).min(), np.log(plain)
+        good, bad, plain = np.array([(len(by_good.compress(b)), len(by_bad.compress(b)), len(b)) for b in blocks_of(text)], dtype=float).T
+        more = bad - good
+        by_sum, by_plain = more / (bad + good), more / plain
+        return more.sum() / (bad + good).sum(), more.sum() / plain.sum(), by_sum.min(), by_sum.max(), by_plain.min(), by_sum.std()
 
     def score(self, texts) -> np.ndarray:
         texts = ["" if t is None else t for t in texts]
@@ -71,14 +74,6 @@ class QualityModel:
         return out
 
 
-def excerpt(text: str) -> bytes:
-    """A stretch of ``EXCERPT`` bytes that begins at a place drawn from the text's checksum."""
-    raw = text.encode()
-    room = max(0, len(raw) - EXCERPT)
-    start = zlib.crc32(raw) % (room + 1)
-    return raw[start : start + EXCERPT]
-
-
 def _dictionary(samples: list[bytes]) -> bytes:
     """A trained dictionary; the samples themselves where there are too few to train on."""
     try:
@@ -87,21 +82,17 @@ def _dictionary(samples: list[bytes]) -> bytes:
         return b"".join(samples)[-DICTIONARY:] or b"\0" * 8
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = 3_000) -> QualityModel:
-    """Fit on at most ``per_class`` labelled documents of each class (documented bound).
+def fit_quality(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "quality", per_class: int = 3_000, class_bytes: int = 32 << 20) -> QualityModel:
+    """Fit on labelled documents, at most ``per_class`` of each class and ``class_bytes`` of their text (documented bounds).
 
     Half of the sample trains the dictionaries, the other half the calibration, which
     would otherwise see texts that its own dictionaries hold.
     """
-    sample = labelled_sample(docs, labels, label, usable, per_class)
-
-    @F.pandas_udf("binary")
-    def excerpts(texts: pd.Series) -> pd.Series:
-        return texts.map(excerpt)
-
+    sample = keep(labelled_sample(docs, labels, label, usable, per_class, class_bytes), "sample")
     half = F.xxhash64(F.lit("half"), F.col("doc_id")) % 2 == 0
-    rows = sample.where(half & (F.col("_text") != "")).select("doc_id", "_label", excerpts("_text").alias("_part")).orderBy("doc_id", "_part").collect()
-    parts = {v: [bytes(r["_part"]) for r in rows if r["_label"] == v] for v in (0, 1)}
+    rows = sample.where(half & (F.col("_text") != "")).select("doc_id", "_label", "_text").orderBy("doc_id", "_text").collect()
+    parts = {v: [b for r in rows if r["_label"] == v for b in blocks_of(r["_text"])] for v in (0, 1)}
+    del rows
     counts = {r["_label"]: r["count"] for r in labels.where(usable & F.col(label).isin(0, 1)).groupBy(F.col(label).alias("_label")).count().collect()}
     share = counts.get(1, 0) / sum(counts.values()) if counts else 0.5
     if not parts[0] or not parts[1]:

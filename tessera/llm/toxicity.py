@@ -15,7 +15,10 @@ into one weight for each subsequence, and a whole text is scored with array look
 
 Defined results: a null or empty text, and one without letters, has no window and gets
 the lowest score that the calibration gives. Without labelled rows of both classes every
-score is the share of toxic labels (0 without any). Equal texts get equal scores.
+score is the share of toxic labels (0 without any). Equal texts get equal scores; repeated
+rows repeat them. Texts of any length are scored whole, null ids too; labels of a null id
+or of both classes are not learnt from. An empty table gives an empty result. Columns
+other than key, text and label are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,6 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.labelled import Logistic, labelled_sample, remainder
+from tessera.llm.store import keep
 
 WINDOW, SPAN, DECAY = 9, 6, 0.6
 #: Letters fall into this many classes: a-z, and the other letters by their code point.
@@ -99,6 +103,30 @@ def profiles(found: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, number, value / norm[row]
 
 
+def squared_norms(text: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """k(x, x) before it is normalised, for the windows ``begins`` to ``ends`` of ``text``.
+
+    It is summed over pairs of places of the first and last letters; the middle letters
+    that agree between them are counted by a table of running counts of equal letters.
+    """
+    grid = np.zeros((WINDOW, len(begins)), dtype=np.uint8)
+    for k in range(WINDOW):
+        inside = begins + k < ends
+        grid[k, inside] = text[begins[inside] + k]
+    same = ((grid[:, None] == grid[None, :]) & (grid[:, None] > 0)).astype(np.uint8)
+    count = np.zeros((WINDOW + 1, WINDOW + 1, len(begins)), dtype=np.uint8)  # at most WINDOW ** 2
+    count[1:, 1:] = same.cumsum(0, dtype=np.uint8).cumsum(1, dtype=np.uint8)
+    places = [(i, k) for i in range(WINDOW) for k in range(i + 2, min(WINDOW, i + SPAN))]
+    out = np.zeros(len(begins))
+    for p, (i, k) in enumerate(places):
+        for a, c in places[p:]:
+            at = np.flatnonzero(same[i, a] & same[k, c])
+            if len(at):
+                between = count[k, c, at] - count[i + 1, c, at] - count[k, a + 1, at] + count[i + 1, a + 1, at]
+                out[at] += between * (DECAY ** (k - i + c - a + 2) * (1 if (a, c) == (i, k) else 2))
+    return out
+
+
 def kernel(left: list[str], right: list[str]) -> np.ndarray:
     """The normalised kernel of two lists of windows, over the subsequences that the second list holds."""
     mark, number, value = profiles(right)
@@ -161,16 +189,13 @@ class ToxicityModel:
         whole[starts] = True
         windows_at = np.flatnonzero(whole | (place + WINDOW <= stops))
         reach = np.minimum(stops, place + WINDOW)[windows_at]
-        sums, squares = np.zeros(len(windows_at)), np.zeros(len(windows_at))
-        value, square = np.zeros(len(text) + 1), np.zeros(len(text) + 1)
+        sums, value = np.zeros(len(windows_at)), np.zeros(len(text) + 1)
         for at, numbers, span in triples(text, starts):
-            value[:] = square[:] = 0
+            value[:] = 0
             value[at + 1] = self.weights[numbers] * DECAY**span
-            square[at + 1] = DECAY ** (2 * span)
-            total, heavy = np.cumsum(value), np.cumsum(square)
-            stop = np.maximum(reach - span + 1, windows_at)
-            sums += total[stop] - total[windows_at]
-            squares += heavy[stop] - heavy[windows_at]
+            total = np.cumsum(value)
+            sums += total[np.maximum(reach - span + 1, windows_at)] - total[windows_at]
+        squares = squared_norms(text, windows_at, reach)
         decision = np.where(squares > 1e-9, sums / np.sqrt(np.maximum(squares, 1e-9)), -1.0) + OFFSET
         return np.maximum.reduceat(decision, np.searchsorted(windows_at, starts))
 
@@ -213,15 +238,20 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
 
     The first positive instances are the windows that stand in toxic texts far more often
     than in clean ones; each round then takes every toxic text's highest window and the
-    clean texts' highest windows, and trains again. ``instances`` bounds what is trained on.
+    highest windows of all words of clean texts, and trains again. A text counts by its
+    share in its group of near copies, which would else make any of their words look
+    telling. ``instances`` windows are trained on, on ``landmarks`` of which the kernel
+    rests (the size of the model). Evidence that is asked for is 10.8 (a chance of 0.001),
+    or 1.5 ln of the number of windows that are tried, and two texts; where that is more
+    than half and a tenth of the toxic texts, it is these shares of them.
     """
-    kept = _without_copies(units)
-    units, toxic = [units[k] for k in kept], toxic[kept]
+    weight = _shares(units)
     in_toxic, in_clean = Counter(), Counter()
-    for found, label in zip(units, toxic, strict=True):
-        seen = {w for word in found for w in windows(word)}
-        (in_toxic if label else in_clean).update(seen)
-    n1, n0 = max(1, int(toxic.sum())), max(1, int(len(toxic) - toxic.sum()))
+    for found, label, each in zip(units, toxic, weight.tolist(), strict=True):
+        held = in_toxic if label else in_clean
+        for w in {w for word in found for w in windows(word)}:
+            held[w] += each
+    n1, n0 = max(1.0, float(weight[toxic == 1].sum())), max(1.0, float(weight[toxic != 1].sum()))
     third = instances // 3
 
     def lettered(found: list[str]) -> list[str]:
@@ -236,13 +266,13 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
         expect = (a + b) * n1 / (n1 + n0)
         return 2 * (a * np.log(a / expect) + (b * np.log(b / (a + b - expect)) if b else 0.0))
 
-    enough = min(10.8, n1 / 2)
+    enough = min(max(10.8, 1.5 * np.log(max(2, len(in_toxic)))), n1 / 2)
     positive = lettered(sorted((w for w in in_toxic if evidence(w) >= enough), key=lambda w: (-evidence(w), w))[:third])
     certain = [w for w in positive if evidence(w) >= 4 * enough]
     frequent = sorted(in_clean, key=lambda w: (-in_clean[w], w))
     negative = lettered(frequent[:third] + sorted(frequent[third:], key=_order)[:third])
-    clean_words = sorted({w for found, label in zip(units, toxic, strict=True) if not label for w in found}, key=_order)[:300_000]
-    toxic_words = [sorted(found) for found, label in zip(units, toxic, strict=True) if label and found]
+    clean_words = sorted({w for found, label in zip(units, toxic, strict=True) if not label for w in found}, key=_order)
+    toxic_words = [(sorted(found), each) for found, label, each in zip(units, toxic, weight.tolist(), strict=True) if label and found]
     weights = np.zeros(LETTERS**3)
     for turn in range(rounds):
         if not positive or not negative:
@@ -263,10 +293,12 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
         if turn == rounds - 1:
             break
         model = ToxicityModel(weights, None, 0.0)
-        chosen = Counter(words[int(np.argmax(model.words(words)))] for words in toxic_words)
+        chosen: Counter = Counter()
+        for words, each in toxic_words:
+            chosen[words[int(np.argmax(model.words(words)))]] += each
         best = []
         for word in sorted(chosen, key=lambda w: (-chosen[w], w)):
-            if chosen[word] < 2 and n1 >= 20:
+            if chosen[word] < min(2.0, n1 / 10) - 1e-9:
                 continue
             cuts = windows(word)
             best.append(cuts[int(np.argmax(model.words(cuts)))])
@@ -277,17 +309,23 @@ def train(units: list[set[str]], toxic: np.ndarray, landmarks: int = 700, rounds
     return weights
 
 
-def _without_copies(units: list[set[str]]) -> list[int]:
-    """The texts that share no pair of minwise words with an earlier one; copies would make any of their words look telling."""
-    seen, kept = set(), []
+def _shares(units: list[set[str]]) -> np.ndarray:
+    """One by the size of each text's group; texts that share a pair of minwise words are near copies of one group."""
+    group, first = list(range(len(units))), {}
+
+    def root(k: int) -> int:
+        while group[k] != k:
+            group[k] = group[group[k]]
+            k = group[k]
+        return k
+
     for k, found in enumerate(units):
         hashes = [zlib.crc32(w.encode()) for w in found]
         low = [min(((h ^ salt) * 0x9E3779B1 & 0xFFFFFFFF for h in hashes), default=k) for salt in (0, 0x5BD1E995, 0x1B873593, 0x85EBCA6B)]
-        pairs = {(0, *low[:2]), (1, *low[2:])}
-        if not pairs & seen:
-            kept.append(k)
-        seen |= pairs
-    return kept
+        for pair in (0, *low[:2]), (1, *low[2:]):
+            group[root(k)] = root(first.setdefault(pair, k))
+    roots = np.array([root(k) for k in range(len(units))], dtype=np.int64)
+    return 1.0 / np.bincount(roots, minlength=len(units))[roots] if len(units) else np.zeros(0)
 
 
 def _order(word: str) -> tuple[int, str]:
@@ -295,9 +333,9 @@ def _order(word: str) -> tuple[int, str]:
     return zlib.crc32(word.encode()), word
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = 3_000) -> ToxicityModel:
-    """Fit on at most ``per_class`` labelled documents of each class (documented bound); two thirds train, one third calibrates."""
-    sample = labelled_sample(docs, labels, label, usable, per_class)
+def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, label: str = "toxic", per_class: int = 3_000, class_bytes: int = 32 << 20) -> ToxicityModel:
+    """Fit on labelled documents, at most ``per_class`` of each class and ``class_bytes`` of their text (documented bounds); two thirds train, one third calibrates."""
+    sample = keep(labelled_sample(docs, labels, label, usable, per_class, class_bytes), "sample")
 
     @F.pandas_udf("string")
     def units(texts: pd.Series) -> pd.Series:
