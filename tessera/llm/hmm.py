@@ -33,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -50,7 +51,6 @@ FOLDS = 4
 PRIOR_EMIT, PRIOR_STEP = 200.0, 5.0
 #: Tokens that are worked on together, distinct words that a counting task holds, and symbols in a row of counts.
 STRETCH, HELD, CHUNK = 100_000, 200_000, 2_048
-REMEMBERED = 250_000
 #: How a symbol is written: 32,768 words and 1,024 classes fit two bytes.
 SYMBOL = np.dtype("<u2")
 #: Bands of word counts for each power of two, by which the shared words are picked.
@@ -67,20 +67,10 @@ def class_of(word: bytes) -> int:
 
 
 class _Numbers(dict):
-    """Places of the shared words; for any other word -1 - its class (remembered up to a bound)."""
-
-    def __init__(self, shared: dict[bytes, int]):
-        super().__init__(shared)
-        self.shared = shared
+    """Places of the shared words; for any other word -1 - its class."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > len(self.shared) + REMEMBERED:
-            self.clear()
-            self.update(self.shared)
-            if word in self.shared:
-                return self.shared[word]
-        number = self[word] = -1 - class_of(word)
-        return number
+        return -1 - class_of(word)
 
 
 @dataclass
@@ -300,7 +290,7 @@ def numbered(docs: DataFrame, vocab: Vocabulary, columns: list[Column], fold: Co
         find = held.numbers().__getitem__
         words = [[*tokens_of(t), END] for t in texts]
         sizes = np.array([len(w) for w in words])
-        flat, begins = np.fromiter((find(w) for each in words for w in each), dtype=np.int64, count=int(sizes.sum())), np.cumsum(sizes) - sizes
+        flat, begins = np.fromiter(map(find, chain.from_iterable(words)), dtype=np.int64, count=int(sizes.sum())), np.cumsum(sizes) - sizes
         base = np.add.reduceat(held.gains(flat), begins) - sizes * base_room
         inner = np.add.reduceat(held.inner(flat), begins)
         symbols = held.symbols(flat).astype(SYMBOL)

@@ -46,8 +46,10 @@ def test_folds(spark):
 
 def test_labelled_sample_is_bounded_and_leaves_conflicts_out(spark, docs):
     labels = spark.createDataFrame([(4, 1), (4, 0), (5, 1), (6, 1), (8, 0)], "doc_id long, quality int")
-    got = labelled.labelled_sample(docs, labels, "quality", F.lit(True), 1).collect()
+    got = labelled.labelled_sample(docs, labels, "quality", F.lit(True), 1, 1 << 20).collect()
     assert len(got) == 2 and {r["_label"] for r in got} == {0, 1} and 4 not in {r["doc_id"] for r in got}
+    some = labelled.labelled_sample(docs, labels, "quality", F.lit(True), 5, 1_000).collect()
+    assert some and sum(len(r["_text"].encode()) for r in some if r["_label"] == 1) <= 1_000
 
 
 def scores_of(df, column):
@@ -91,6 +93,27 @@ def test_quality_separates_held_out_texts(spark):
     assert np.mean([r["quality"] == r["p"] for r in got]) > 0.95
 
 
+def test_quality_scores_equal_plain_zstandard(spark):
+    """Dictionaries, block sizes and the logistic map, once more by hand."""
+    import zstandard
+
+    rows = [(i, t, y) for i, (t, y) in enumerate([(t, 1) for t in made_texts(False, False, 80, 3)] + [(t, 0) for t in made_texts(True, False, 80, 3)])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    model = quality.fit_quality(df.select("doc_id", "text"), df.select("doc_id", "quality"), F.lit(True))
+    got = {r["text"]: r["s"] for r in df.select("text", quality.quality_score(model).alias("s")).collect()}
+    by = [zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False) for d in (model.good, model.bad)]
+    fit = model.calibrate
+    for _, text, _ in rows[::7]:
+        raw = text.encode()
+        sizes = [[len(c.compress(raw[k : k + 256])) for c in by] + [len(raw[k : k + 256])] for k in range(0, len(raw), 256)]
+        g, b, n = (sum(s[i] for s in sizes) for i in range(3))
+        each, plain = [(s[1] - s[0]) / (s[1] + s[0]) for s in sizes], [(s[1] - s[0]) / s[2] for s in sizes]
+        x = np.array([(b - g) / (b + g), (b - g) / n, min(each), max(each), min(plain), np.std(each)])
+        z = np.clip((x - fit.mean) / fit.scale, -8, 8)
+        terms = [1.0, *z, *(z[i] * z[j] for i in range(6) for j in range(i, 6))]
+        assert got[text] == pytest.approx(1 / (1 + math.exp(-(np.dot(terms, fit.weights) + fit.shift))), abs=1e-9)
+
+
 def test_toxicity_tolerates_gaps_and_insertions():
     texts = made_texts(False, True, 60, 1) + made_texts(False, False, 120, 1)
     y = np.array([1] * 60 + [0] * 120)
@@ -115,6 +138,28 @@ def test_string_kernel_equals_the_definition():
     assert np.allclose(toxicity.kernel(words, words), want)
 
 
+def test_toxicity_decisions_equal_the_kernel_expansion():
+    """The folded weights and running sums against sums of kernels with all landmarks, window by window."""
+    marks = ["zquix", "moron", "lo-ser", "plain", "banana"]
+    alpha = np.array([0.7, 0.9, 0.4, -0.8, -0.3])
+    mark, number, value = toxicity.profiles(marks)
+    weights = np.bincount(number, weights=alpha[mark] * value, minlength=toxicity.LETTERS**3)
+    model = toxicity.ToxicityModel(weights, None, 0.0)
+    words = ["zqu.ix", "maroon", "extraordinarilymoronic", "x", "--", "bananas", "lose-r", "a" * 40]
+    for word, got in zip(words, model.words(words), strict=True):
+        cuts = toxicity.windows(word)
+        lettered = [c for c in cuts if len(toxicity.profiles([c])[0])]
+        each = toxicity.kernel(lettered, marks) @ alpha if lettered else np.zeros(0)
+        want = max([*(each + toxicity.OFFSET), *([toxicity.OFFSET - 1.0] if len(lettered) < len(cuts) else [])])
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_near_copies_among_labels_share_a_weight():
+    texts = made_texts(False, False, 3, 9)
+    units = [toxicity.units_of(t) for t in (texts[0], texts[0] + " more", texts[1], texts[2])]
+    assert toxicity._shares(units).tolist() == [0.5, 0.5, 1.0, 1.0] and len(toxicity._shares([])) == 0
+
+
 def test_hmm_counts_and_scores_equal_brute_force(monkeypatch):
     monkeypatch.setattr(hmm, "STATES", 3)
     rng = np.random.default_rng(0)
@@ -232,10 +277,28 @@ def test_pieces_are_lossless_and_repeat(spark, docs, vocabulary):
     assert pieces.encode(docs.limit(0), path).count() == 0
 
 
+def test_draws_near_one_stay_with_their_node(vocabulary):
+    """At places near a million a draw just below 1 rounds up to the next place's arcs."""
+    model = pieces.pieces_of(vocabulary.path("piece_bpe_32k.model"), 1.0)
+    lattice = pieces.Lattice(model, ["▁word"] * 200_000 + ["▁abcdefgh"])
+    assert lattice.end[-1] > 1_000_000
+    ends = lattice.end[[100_000, 199_999, 200_000]]
+    late = np.searchsorted(lattice.key, ends + (1 - 2.0**-53), side="right")
+    assert (late > lattice.last[ends]).any()  # the fault that the bound is there for
+    for at in ends:
+        arc = lattice.last[at]
+        assert lattice.key[arc] == at + 1 and lattice.source[arc] < at
+
+
 def test_word_encoder_equals_the_tokenizer(vocabulary):
     encoder = packing.WordEncoder(vocabulary.path("word_bpe_49k.json"))
     texts = [*["" if t is None else t for t in TEXTS], "don't I'll 'tis", "x\x85y", "İstanbul ﬁ ª", "12 34,,5;6", "<|endoftext|> a"]
-    assert list(encoder.ids(texts)) == [encoder.plain(t) for t in texts]
+    from tokenizers import Tokenizer
+
+    fresh = Tokenizer.from_file(vocabulary.path("word_bpe_49k.json"))
+    texts += ["hello <|endoftext|> world", "<|startoftext|>", "<|ENDOFTEXT|> x", "a<|endoftext|>b <|endoftext|", "<| endoftext |>"]
+    assert [np.frombuffer(i, dtype="<u4").tolist() for i in encoder.ids(texts)] == [fresh.encode(t, add_special_tokens=False).ids for t in texts]
+    assert np.frombuffer(next(encoder.ids(["hello <|endoftext|> world"])), dtype="<u4").tolist() == [3306, 49407, 1002]
 
 
 def test_packing_is_gapless_and_tight(spark, docs, vocabulary, monkeypatch):
@@ -254,7 +317,15 @@ def test_packing_is_gapless_and_tight(spark, docs, vocabulary, monkeypatch):
             assert offset == at
             at += length
         assert at <= 4096
-    assert len(bins) <= 1.03 * len(packing.best_fit(sorted(sizes, reverse=True), 4096)[2])
+    assert math.ceil(sum(sizes) / 4096) <= len(bins) <= 1.03 * len(packing.best_fit(sorted(sizes, reverse=True), 4096)[2])
+    plain = []  # best-fit by looking at every open bin
+    for size in (9, 4, 7, 3, 6, 5, 2, 8, 1):
+        fits = [k for k, used in enumerate(plain) if used + size <= 10]
+        if fits:
+            plain[max(fits, key=lambda k: (plain[k], -k))] += size
+        else:
+            plain.append(size)
+    assert sorted(packing.best_fit((9, 4, 7, 3, 6, 5, 2, 8, 1), 10)[2]) == sorted(plain)
     assert packing.pack(df.limit(0)).count() == 0
     path = vocabulary.path("word_bpe_49k.json")
     cut = packing.pieces_of(docs, path).collect()
@@ -332,11 +403,24 @@ def test_tiff_round_trips(scheme, predictor, tiled):
             assert b"".join(p.samples.tobytes() for p in tiff.pages_of(media)) == raw
 
 
+def plain_feature(payload):
+    """The feature of a payload on pages of 1,024 rows of 64 samples, value by value."""
+    rows = [payload[k : k + 64] for k in range(0, len(payload), 64)]
+    pages = [rows[k : k + 1024] for k in range(0, len(rows), 1024)]
+    n, mean = len(payload), sum(payload) / len(payload)
+    variance = sum(x * x for x in payload) / n - mean * mean
+    steps = sum(abs(b - a) for row in rows for a, b in itertools.pairwise(row))
+    sizes = "+".join(dict.fromkeys(f"64x{len(p)}" for p in pages))
+    return f"pages={len(pages)};size={sizes};mean={mean:.6f};var={variance:.6f};levels={len(set(payload))};step={steps / n:.6f}"
+
+
 def test_tiff_media_on_awkward_rows(spark, docs):
     for r in tiff.media_digests(docs.select("doc_id", "text")).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
         raw = (r["text"] or "").encode()
         payload = raw + bytes(-len(raw) % 64 or (0 if raw else 64))
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"], r["tail_crc32"]) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        media = tiff.encode(payload, **tiff.LAYOUTS[zlib.crc32(payload) % len(tiff.LAYOUTS)])
+        assert (r["media_bytes"], r["media_sha256"], r["feature"]) == (len(media), hashlib.sha256(media).hexdigest(), plain_feature(payload))
     media = tiff.encode(bytes(range(64)) * 3000)
     files = spark.createDataFrame([(1, bytearray(media)), (2, None), (3, bytearray(b"")), (4, bytearray(media[:-40])), (5, bytearray(b"MM\x00*junk"))], "k int, content binary")
     got = tiff.read_pages(files, "k", "content").collect()

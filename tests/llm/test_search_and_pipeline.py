@@ -21,7 +21,7 @@ def brute(rows, k=5):
 @pytest.mark.parametrize("blocks", [False, True])
 def test_search_equals_brute_force(spark, monkeypatch, blocks):
     if blocks:
-        for name, value in (("BLOCK", 60), ("LEAST_BLOCK", 20), ("QUERY_BLOCK", 3), ("SLICE", 16)):
+        for name, value in (("BLOCK", 60), ("LEAST_BLOCK", 20), ("QUERY_NUMBERS", 18), ("SLICE", 16)):
             monkeypatch.setattr(topk, name, value)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(scale=rng.choice([0.05, 1.0]), size=6).astype(np.float32).tolist()) for i in range(420)]
@@ -32,6 +32,15 @@ def test_search_equals_brute_force(spark, monkeypatch, blocks):
     assert got == brute([(i, None if v is None else [None if x is None else np.float32(x) for x in v]) for i, v in rows])
 
 
+def test_scores_beyond_64_bits_count_as_the_nearest(spark):
+    rows = [(0, [1e16, 1e16]), (1, [1e16, 1e16]), (2, [-1e16, -1e16]), (3, [3e16, 0.0]), (50, [1e-3, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in topk.top_products(df, F.col("id") == 0).collect()}
+    assert got[(0, 1)] == got[(0, 3)] == 2**63 - 1 and got[(0, 2)] == -(2**63) and got[(0, 50)] == 0
+    ranks = {r["vec_id"]: r["rank"] for r in topk.top_products(df, F.col("id") == 0).collect()}
+    assert (ranks[1], ranks[3], ranks[50], ranks[2]) == (1, 2, 3, 4)
+
+
 def test_search_without_rows_or_queries(spark):
     empty = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert topk.top_products(empty, F.col("id") % 50 == 0).count() == 0
@@ -96,3 +105,23 @@ def test_pipeline_stages(spark, tmp_path):
             assert row["text"].endswith("[secret]") and row["n_chars"] == len(row["text"])
     fills = {r["sequence_id"]: r["n"] for r in docs.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()}
     assert max(fills.values()) <= 4096
+
+
+def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
+    """Labels of one class, clashing column names, no rows."""
+    import corpus_pipeline as pipeline
+
+    clashing = "doc_id long, text string, _row long, row string, key string, _base string, _label int, _text string, kept boolean, length long, piece string"
+    rows = [(k, f"some words of document {k} " * 5 + "token = abcdef123", k, "r", "k", "b", 1, "t", True, 5, "p") for k in range(6)] + [(6, None, 6, None, None, None, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, clashing)
+    for n, labels in enumerate(([(k, 1, 0) for k in range(6)], [], [(0, None, None), (None, 0, 1)])):
+        folder = tmp_path / str(n)
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(folder / "labels.parquet"))
+        for stage in (pipeline.toxicity, pipeline.quality) if n else (pipeline.toxicity, pipeline.quality, pipeline.near_duplicate, pipeline.secrets):
+            out = stage(spark, docs, str(folder))
+            assert out.columns == docs.columns and out.count() == 7
+            assert {(r["row"], r["_row"], r["_base"]) for r in out.where("doc_id < 6").collect()} == {("r", k, "b") for k in range(6)}
+    packed = pipeline.packing(spark, docs, str(tmp_path))
+    assert packed.count() == 7 and {"doc_id", "piece", "sequence_id", "offset"} <= set(packed.columns)
+    for _, stage in pipeline.STAGES:
+        assert stage(spark, docs.limit(0), str(tmp_path / "0")).count() == 0
