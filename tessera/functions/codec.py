@@ -23,13 +23,13 @@ def encode(data: Column, h: Column, w: Column) -> Column:
     """The payload of a row-major array of whole numbers; an array whose size is not h * w raises."""
     header = F.concat_ws(" ", F.lit(MAGIC), h.cast("string"), w.cast("string"))
     down = let(data, lambda d: F.transform(F.sequence(F.lit(0), F.greatest(h * w - 1, F.lit(0))), lambda p: F.get(d, (p % h) * w + F.floor(p / h).cast("int"))))
-    start = F.struct(F.lit(None).cast("int").alias("v"), F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
 
-    def run(a: Column, x: Column) -> Column:
-        ended = F.when(a["n"] > 0, F.array_append(a["out"], F.concat_ws(" ", a["v"], a["n"]))).otherwise(a["out"])
-        return F.when(a["v"] == x, F.struct(a["v"].alias("v"), (a["n"] + 1).alias("n"), a["out"].alias("out"))).otherwise(F.struct(x.alias("v"), F.lit(1).alias("n"), ended.alias("out")))
+    def runs(d: Column) -> Column:
+        """Each run's value and length, from the places where runs begin (no array grows, so a map of many runs takes linear time)."""
+        begins = F.filter(F.sequence(F.lit(0), F.size(d) - 1), lambda i: (i == 0) | (F.get(d, i) != F.get(d, i - 1)))
+        return let(begins, lambda at: F.transform(at, lambda p, k: F.concat_ws(" ", F.get(d, p), F.coalesce(F.get(at, k + 1), F.size(d)) - p)))
 
-    body = F.aggregate(down, start, run, lambda a: F.array_append(a["out"], F.concat_ws(" ", a["v"], a["n"])))
+    body = let(down, runs)
     wrong = F.raise_error(F.lit("a map's size must be its height times its width"))
     full = F.concat_ws(" ", header, F.array_join(body, " "))
     return F.when(F.size(data) != h * w, wrong.cast("string")).when(h * w == 0, header).otherwise(full)

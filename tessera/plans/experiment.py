@@ -61,10 +61,11 @@ def run_experiment(patches: DataFrame, make, tag: str = "", slug: str = "run", o
         maps = to_maps(scored) if maps is None else maps.unionByName(to_maps(scored))
     if smooth is not None:
         maps = maps.withColumn("data", smooth(F.col("data"), F.col("h"), F.col("w")))
+    maps = keep(maps, "maps")  # scored once, read by everything below
     pixels = A.each(maps.where("split = 'train_anomaly'"), ["image_id", "cls", "anomaly_type"], F.arrays_zip("data", "mask"), "_p", "_x")
     pixels = pixels.select("image_id", "cls", "anomaly_type", F.col("_x.data").alias("score"), F.col("_x.mask").alias("label"))
     each = metrics.average_precision(pixels, "score", "label", ("cls", "anomaly_type", "image_id"))
-    per_type = metrics.ap_summary(each)
+    per_type = keep(metrics.ap_summary(each), "per-type")
     pooled = {r["cls"]: r["ap"] for r in metrics.average_precision(pixels, "score", "label", ("cls",)).collect()}
     result = RunResult(run_id, per_type, metrics.class_means(per_type), maps, pooled)
     if out_dir:
@@ -184,7 +185,7 @@ def run_stacker(
     run_id = make_run_id(f"stack-{config.estimator}", config.fingerprint(), "", time.strftime("%Y%m%d-%H%M%S"))
     every = [r["cls"] for r in images.select("cls").distinct().orderBy("cls").collect()]
     classes = [r["cls"] for r in images.where(F.exists("mask", lambda m: m > 0)).select("cls").distinct().orderBy("cls").collect()]
-    ranked = ranked_maps(images, methods, config.scope)
+    ranked = keep(ranked_maps(images, methods, config.scope), "ranked")
     matrix, names = pixel_table(ranked, methods, every, config.features, priors, ("image_id", "anomaly_type", "sample_id"))
     labels = A.each(images, ["image_id", "cls", "w"], F.col("mask"), "_p", "label").select("image_id", "cls", F.floor(F.col("_p") / F.col("w")).cast("int").alias("r"), (F.col("_p") % F.col("w")).alias("c"), "label")
     table = keep(matrix.join(labels, ["image_id", "r", "c"]).withColumn("key", F.xxhash64("image_id", "r", "c")), "stack-rows") if classes else None

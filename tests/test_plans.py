@@ -99,7 +99,7 @@ def test_stacked_tests_become_a_submission(spark, patches, tmp_path):
     tests = tests.select("image_id", F.lit(4).alias("h"), F.lit(4).alias("w"), *[F.slice(m, 1, 16).alias(m) for m in ("m0", "m1")])
     lookup = patches.select("image_id", "cls").distinct()
     config = experiment.StackerConfig(runs=("x", "y"), estimator="logreg", features=experiment.features.FeatureConfig(gaussian_sigmas=(1.0,), window_sizes=(3,)), min_component_size=1)
-    done = experiment.run_stacker(maps, ["m0", "m1"], config, priors=spatial_priors(maps.select("cls", "h", "w", "mask"), 0.5), tests=tests, lookup=lookup, out_dir=str(tmp_path))
+    done = experiment.run_stacker(maps, ["m0", "m1"], config, params={"max_iter": 10}, priors=spatial_priors(maps.select("cls", "h", "w", "mask"), 0.5), tests=tests, lookup=lookup, out_dir=str(tmp_path))
     assert set(done.ap) == {"a"} and 0 < done.overall <= 1
     fused = {r["image_id"]: r["data"] for r in done.fused.collect()}
     assert set(fused) == {"a8", "a9", "b8", "b9"} and all(len(v) == 16 and 0 <= min(v) and max(v) <= 1 for v in fused.values())
