@@ -354,10 +354,10 @@ def exact_links(groups: DataFrame, numerator: int, denominator: int) -> DataFram
     n, s = F.col("_n") - F.col("_main._n"), F.col("_s") - F.col("_main._s")
     main = main.where(n > 0).withColumns({"_n": n, "_s": s})
     main = main.select("label", F.col("_main._part").alias("_largest"), _blocks("_main._n", "_main._s").alias("_mains"), _blocks("_n", "_s").alias("_others"))
-    placed = parts.join(main, "label").withColumn("_outside", F.col("_part") != F.col("_largest"))
+    placed, outside = parts.join(main, "label"), F.col("_part") != F.col("_largest")
     # blocks 0.._others-1 hold the members outside the largest part, the blocks after them that part; pairs of two of the latter are not needed
-    placed = placed.withColumn("_own", F.when("_outside", F.pmod(F.xxhash64("rep"), F.col("_others"))).otherwise(F.col("_others") + F.pmod(F.xxhash64("rep"), F.col("_mains"))))
-    last = F.when("_outside", F.col("_others") + F.col("_mains")).otherwise(F.col("_others")) - 1
+    placed = placed.withColumn("_own", F.when(outside, F.pmod(F.xxhash64("rep"), F.col("_others"))).otherwise(F.col("_others") + F.pmod(F.xxhash64("rep"), F.col("_mains"))))
+    last = F.when(outside, F.col("_others") + F.col("_mains")).otherwise(F.col("_others")) - 1
     placed = placed.select("label", "rep", "_own", "shingles", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_other"))
     return links.unionByName(near).unionByName(linked(placed.select("label", F.least("_own", "_other").alias("_low"), F.greatest("_own", "_other").alias("_high"), "rep", "shingles"), "label", "_low", "_high"))
 

@@ -475,6 +475,33 @@ def test_near_duplicates_equal_brute_force(spark, small, monkeypatch):
     assert {i: got[i]["n_shingles"] for i in ids} == {i: len(s) for i, s in zip(ids, sets, strict=True)}
 
 
+@pytest.mark.parametrize("pivots", [1, 3])
+def test_large_candidate_groups_equal_brute_force(spark, pivots, monkeypatch):
+    """One candidate group far above a task's bound that falls into many components, and one that is a single component."""
+    monkeypatch.setattr(neardup, "TASK_DOCUMENTS", 8)
+    monkeypatch.setattr(neardup, "PIVOTS", pivots)
+    kept, keep = [], neardup.keep
+    monkeypatch.setattr(neardup, "keep", lambda df, name: kept.append(name) or keep(df, name))
+    rng = np.random.default_rng(3)
+    words, texts = [f"w{k}" for k in range(120)], []
+    for step in range(60):  # neighbours are alike, or nearly so: the group hangs together by estimates only
+        for place in range(1 + 4 * (step % 5 == 0) * (step > 20)):
+            words[(7 * step + 11 * place) % 120] = f"x{rng.integers(10**9)}"
+        texts.append(" ".join(words))
+    one = [f"v{k}" for k in range(200)]
+    texts += [" ".join([*one[:k], "other", *one[k + 1 :]]) for k in range(30)]
+    ids = [int(i) for i in rng.permutation(len(texts))]
+    label = [0] * 60 + [60] * 30
+    sets = [word_set(t) for t in texts]
+    want = groups_of(ids, sets)
+    groups = spark.createDataFrame([(i, g, len(s), t) for i, g, s, t in zip(ids, label, sets, texts, strict=True)], "rep long, label long, n_shingles long, text string")
+    got = {r["node"]: r["label"] for r in components(neardup.exact_links(groups, 75, 100)).collect()}
+    assert len({want[i] for i in ids[:60]}) > 5 and len({want[i] for i in ids[60:]}) == 1
+    assert {i: got.get(i, i) for i in ids} == want and "large-parts" in kept
+    docs = spark.createDataFrame(zip(ids, texts, strict=True), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(docs).collect()} == want and kept.count("large-parts") == 2
+
+
 @pytest.mark.parametrize("last,trees,n", [(5, 1, 300), (13, 16, 150)])
 def test_large_deepest_nodes_leave_out_no_pair(spark, last, trees, n, monkeypatch):
     """Documents that agree in all values that choose paths, as by a shared passage, with alike pairs among them."""
