@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import topk
+from tessera.llm import neardup, topk
 from tessera.llm.graph import components
 
 
@@ -107,6 +107,26 @@ def test_pipeline_stages(spark, tmp_path):
     assert max(fills.values()) <= 4096
 
 
+def test_near_duplicate_stage_keeps_one_of_each_component_of_a_large_group(spark, tmp_path, monkeypatch):
+    import corpus_pipeline as pipeline
+
+    monkeypatch.setattr(neardup, "TASK_DOCUMENTS", 8)
+    base = [f"w{k}" for k in range(120)]
+    far = [f"x{k}" if k < 60 and k % 10 == 0 else w for k, w in enumerate(base)]  # 0.59 from the first ones, 0.70 from those between
+    between = [f"x{k}" if k < 20 and k % 10 == 0 else w for k, w in enumerate(base)]
+    texts = [" ".join([*words[:at], f"y{at}", *words[at + 1 :]]) for words in (base, between, far) for at in range(100, 120)]
+    docs = spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(116)} for t in texts]
+    label = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]) and label[i] != label[j]:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    kept = pipeline.near_duplicate(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == set(label) and len(set(label)) > 1
+
+
 def test_pipeline_stages_on_awkward_tables(spark, tmp_path):
     """Labels of one class, clashing column names, no rows."""
     import corpus_pipeline as pipeline
